@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, packing, shared, token_store, tokens
+from weftline.llm import decontaminate, exact_dedup, near_dedup, packing, shared, token_store, tokens, toxicity
 
 
 def op1_plane_shuffled_tokens(spark, sf_dir):
@@ -11,16 +11,39 @@ def op1_plane_shuffled_tokens(spark, sf_dir):
     return token_store.read_tokens(spark, path)
 
 
+def op2_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.find_contamination(shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(shared.documents(spark, sf_dir), keep="largest")
 
 
+def op7_superminhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(shared.documents(spark, sf_dir), width=4, percent=80)
+
+
 def op9_hierarchical_packing(spark, sf_dir):
     return packing.pack_documents(shared.documents(spark, sf_dir), tokens.default_vocabulary(), end_id=0)
 
 
+def op10_counterfactual_toxicity(spark, sf_dir):
+    docs, labels = shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_documents(docs, toxicity.train(docs, labels))
+
+
+QUERIES = (
+    op1_plane_shuffled_tokens,
+    op2_benchmark_decontamination,
+    op3_exact_dedup,
+    op7_superminhash_near_dedup,
+    op9_hierarchical_packing,
+    op10_counterfactual_toxicity,
+)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_plane_shuffled_tokens, op3_exact_dedup, op9_hierarchical_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
