@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, near_dedup, packing, shared, token_store, tokens, toxicity
+from weftline.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, shared, token_store, tokens, toxicity
 
 
 def op1_plane_shuffled_tokens(spark, sf_dir):
@@ -19,6 +19,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(shared.documents(spark, sf_dir), keep="largest")
 
 
+def op4_fuzzy_line_dedup(spark, sf_dir):
+    return line_dedup.dropped_lines(shared.documents(spark, sf_dir))
+
+
 def op7_superminhash_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(shared.documents(spark, sf_dir), width=4, percent=80)
 
@@ -36,6 +40,7 @@ QUERIES = (
     op1_plane_shuffled_tokens,
     op2_benchmark_decontamination,
     op3_exact_dedup,
+    op4_fuzzy_line_dedup,
     op7_superminhash_near_dedup,
     op9_hierarchical_packing,
     op10_counterfactual_toxicity,
