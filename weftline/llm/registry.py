@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, shared, token_store, tokens, toxicity
+from weftline.llm import backoff, chat, decontaminate, exact_dedup, line_dedup, near_dedup, packing, shared, surrogates, token_store, tokens, toxicity
 
 
 def op1_plane_shuffled_tokens(spark, sf_dir):
@@ -23,10 +23,30 @@ def op4_fuzzy_line_dedup(spark, sf_dir):
     return line_dedup.dropped_lines(shared.documents(spark, sf_dir))
 
 
+#: Tools that chats may call, with their arguments' schemas.
+TOOLS = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"]},
+    "fetch": {"properties": {"url": {"type": "string"}, "timeout": {"type": "number"}}, "required": ["url"]},
+    "run": {"properties": {"code": {"type": "string"}, "env": {"type": "object"}, "args": {"type": "array"}}, "required": ["code"]},
+}
+
+
+def op5_tool_call_linking(spark, sf_dir):
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"), chat.tool_schemas(spark, TOOLS))
+
+
+def op6_surrogate_generation(spark, sf_dir):
+    return surrogates.replace_entities(shared.documents(spark, sf_dir), b"op6 surrogates")
+
+
 def op7_superminhash_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(shared.documents(spark, sf_dir), width=4, percent=80)
 
 
+def op8_stupid_backoff(spark, sf_dir):
+    return backoff.score_texts(shared.documents(spark, sf_dir), order=3)
+
+
 def op9_hierarchical_packing(spark, sf_dir):
     return packing.pack_documents(shared.documents(spark, sf_dir), tokens.default_vocabulary(), end_id=0)
 
@@ -41,7 +61,10 @@ QUERIES = (
     op2_benchmark_decontamination,
     op3_exact_dedup,
     op4_fuzzy_line_dedup,
+    op5_tool_call_linking,
+    op6_surrogate_generation,
     op7_superminhash_near_dedup,
+    op8_stupid_backoff,
     op9_hierarchical_packing,
     op10_counterfactual_toxicity,
 )
@@ -52,4 +75,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_tool_call_linking": chat.ORACLE_SQL}
