@@ -53,8 +53,7 @@ _ACCESS_KEY = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b")
 _SECRET = re.compile(r"""\b(?:token|secret|password|passwd|api[_-]?key)\b["']?\s*[:=]\s*["']([^"'\s]{6,})["']""", re.I)
 _HEX = re.compile(r"[0-9a-f]{8,}")
 _NAME = re.compile(r"\b(?:" + "|".join(sorted({n for names in GIVEN_NAMES.values() for n in names}, key=len, reverse=True)) + r") [A-ZА-Я][a-zа-я]+\b")
-_HAS_HEX = re.compile(r"[0-9a-f]{8,}")
-_NAME = re.compile("|".join(sorted({n for names in GIVEN_NAMES.values() for n in names})))
+_HAS_NAME = re.compile("|".join(sorted({n for names in GIVEN_NAMES.values() for n in names})))
 
 
 class Permutation:
