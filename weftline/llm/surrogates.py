@@ -8,9 +8,9 @@ reserved, given names stay names of their gender and script. So equal entities g
 surrogates everywhere, and different ones different surrogates.
 
 A surrogate could still be a value that somebody else in the corpus has. The entities of the
-whole corpus are therefore gathered as a distinct table, surrogates that are themselves entities
-of it are permuted again, and so on until none is: this keeps different values apart, since the
-permutation's cycles do. Texts are rewritten where they are; only texts with such an entity
+whole corpus are therefore gathered as a distinct table; an entity whose surrogate is one of
+them gets another from a permutation with another key, and so on until its surrogate is neither
+an entity nor the surrogate of another: different values stay different. Texts are rewritten where they are; only texts with such an entity
 meet the (short) list of exceptions.
 
 Defined cases: null stays null, empty stays empty; a text without entities stays as it is; null
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import arrow_map, drop_written, slices, written
+from weftline.llm.shared import arrow_map, slices, written
 
 #: Given names by script and gender; a name is replaced by another of its list.
 GIVEN_NAMES: dict[tuple[str, str], tuple[str, ...]] = {
@@ -193,28 +193,31 @@ def _exceptions(rows: DataFrame, key: bytes, most_rounds: int) -> DataFrame:
                 seen = [(k, v, step(k, v)) for k, v in sorted(seen)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in seen], pa.string()) for c in range(3)], names=["kind", "value", "surrogate"])
 
-    def again(batches):
-        for batch in batches:
-            kinds, values, now = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(values), pa.array([surrogate(k, s, key) for k, s in zip(kinds, now, strict=True)], pa.string())], names=["kind", "value", "surrogate"])
+    def again(turn: int):
+        def moved(batches):
+            for batch in batches:
+                kinds, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                new = [surrogate(k, v, key + b"|%d" % turn) for k, v in zip(kinds, values, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(new, pa.string())], names=["kind", "value", "surrogate"])
+
+        return moved
 
-    ddl = "kind string, value string, surrogate string"
+    ddl, both = "kind string, value string, surrogate string", ["kind", "surrogate"]
     known = written(arrow_map(rows, gather, ddl).distinct(), "entities")
-    taken = known.select("kind", F.col("value").alias("surrogate"))
     # what stands for itself (reserved addresses, formats of one value) is no collision
-    open_rows, done = known.filter("surrogate <> value").join(taken, ["kind", "surrogate"], "left_semi").select("kind", "value", "surrogate"), None
-    open_rows = written(open_rows, "open")
-    for _ in range(most_rounds):
+    real, changed = known.select("kind", F.col("value").alias("surrogate")), known.filter("surrogate <> value")
+    open_rows = written(changed.join(real, both, "left_semi").select("kind", "value", "surrogate"), "open")
+    taken, done = real.unionByName(changed.join(real, both, "left_anti").select(*both)), None
+    for turn in range(1, most_rounds + 1):
         if not open_rows.limit(1).count():
             break
-        moved = written(arrow_map(open_rows, again, ddl), "moved")
-        free = moved.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate")
-        done = free if done is None else done.unionByName(free)
-        open_rows = written(moved.join(taken, ["kind", "surrogate"], "left_semi").select("kind", "value", "surrogate"), "open")
+        moved = written(arrow_map(open_rows, again(turn), ddl), "moved")
+        free = written(moved.join(taken, both, "left_anti").select("kind", "value", "surrogate"), "free")
+        open_rows = written(moved.join(taken, both, "left_semi").select("kind", "value", "surrogate"), "open")
+        done, taken = free if done is None else done.unionByName(free), taken.unionByName(free.select(*both))
     else:
         raise RuntimeError("an entity's format is too small for a free surrogate")
-    drop_written(open_rows)
-    return written(done, "exceptions") if done is not None else known.limit(0)
+    return known.limit(0) if done is None else done
 
 
 def replace_entities(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", *, most_rounds: int = 64) -> DataFrame:
