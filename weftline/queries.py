@@ -483,8 +483,8 @@ def kmeans_step(spark, d):
 
 # series
 
-_POINTS = "(SELECT event_type AS prop, CAST(user_id AS VARCHAR) AS key, value, epoch_ms(ts) AS time, event_id FROM events)"
-_NOW = "(SELECT max(epoch_ms(ts)) FROM events)"
+_POINTS = "(SELECT event_type AS prop, CAST(user_id AS VARCHAR) AS key, value, epoch_us(ts) // 1000 AS time, event_id FROM events)"
+_NOW = "(SELECT max(epoch_us(ts) // 1000) FROM events)"
 
 
 def _millis():
