@@ -32,7 +32,7 @@ def prefix(value: Column, length: int, *, strict: bool = False) -> Column:
 
 def number(value: Column, kind: str = "double", *, lenient: bool = False) -> Column:
     """The value as a number; what is none is an error, or null if ``lenient``."""
-    return F.expr(f"try_cast({value._jc.toString()} as {kind})") if lenient and value._jc.toString().isidentifier() else (value.try_cast(kind) if lenient else value.cast(kind))
+    return value.try_cast(kind) if lenient else value.cast(kind)
 
 
 def numeric_fields(line: Column, *, drop: int, drop_right: int) -> Column:
