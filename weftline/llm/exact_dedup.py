@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.shared import written
+
 
 def content_hash(text: Column) -> Column:
     """The 128-bit hash that groups rows."""
@@ -40,6 +42,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(pick("_keep").alias("_keep"), F.sum("_n").alias("_n"), F.count("*").alias("_classes"))
         .withColumn("_n", F.when(F.col("_classes") == 1, F.col("_n")).otherwise(F.raise_error(F.lit("two texts share both hashes")).cast("long")))
     )
+    # as a written table both sides of the join are plain exchanges, so a hot class can be split
+    classes = written(classes.select("_h", "_sha", "_keep", "_n"), "classes")
     keyed = rows.select("_id", hash128(F.col("_text")).alias("_h"), sha.alias("_sha"))
     return keyed.join(classes, ["_h", "_sha"]).select(
         F.col("_id").alias(id_col),
