@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from weftline.llm import backoff, chat, decontaminate, exact_dedup, line_dedup, near_dedup, packing, registry, surrogates, token_store, tokens, toxicity
-from weftline.llm.shared import fresh_path
+from weftline.llm.shared import fresh_uri
 
 ROWS = [
     (1, "alpha beta gamma delta epsilon zeta", "x", "y"),
@@ -34,7 +34,7 @@ def items(spark, rows=((1, "beta gamma delta epsilon"), (2, None), (3, ""))):
 
 
 def tokenised(df):
-    path = fresh_path(df.sparkSession, "t")
+    path = fresh_uri(df.sparkSession, "t")
     token_store.write_tokens(df, path, tokens.default_vocabulary(), shards=3)
     return token_store.read_tokens(df.sparkSession, path)
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from weftline.llm import packing, token_store, tokens
-from weftline.llm.shared import fresh_path
+from weftline.llm.shared import fresh_uri
 
 PARTS = [" ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "a", "é", "'s", "'", "12", "!?", "<|endoftext|>", "\xa0", "　", "\x1c", "漢", "😀", "\r\n", "​", "x" * 50, "\r", "a,", "word.", "The"]
 
@@ -42,7 +42,7 @@ def test_planes_round_trip(planes, n):
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_store_round_trip(planes, spark, sf_dir, tok):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = fresh_path(spark, "tokens")
+    path = fresh_uri(spark, "tokens")
     token_store.write_tokens(docs, path, tokens.default_vocabulary(), end_id=2, planes=planes, block=1000, shards=5)
     got = sorted(token_store.read_tokens(spark, path).collect())
     start = 0

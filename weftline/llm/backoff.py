@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import arrow_map, drop_written, fresh_path, slices, written
+from weftline.llm.shared import arrow_map, drop_written, fresh_uri, slices, written
 from weftline.llm.words import mix, utf8, word_hashes
 
 _U = np.uint64
 #: Words of a part that are counted together; a part has one run of n-grams for each so many words.
-RUN = 3_000_000
+RUN = 1_500_000
 
 
 def _packed(x: np.ndarray, width: int) -> bytes:
@@ -131,7 +131,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     counted = arrow_map(rows, count, ddl).groupBy("n", "range").applyInArrow(add_up, "n int, range int, part int, run int, totals binary, words long")
     counted = written(counted, "counts")
     all_words = counted.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("w")).first()["w"]
-    folder = fresh_path(spark, "part-counts")
+    folder = fresh_uri(spark, "part-counts")
 
     def store(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()

@@ -6,7 +6,7 @@ from weftline.llm import backoff, chat, decontaminate, exact_dedup, line_dedup,
 
 
 def op1_plane_shuffled_tokens(spark, sf_dir):
-    path = shared.fresh_path(spark, "tokens")
+    path = shared.fresh_uri(spark, "tokens")
     token_store.write_tokens(shared.documents(spark, sf_dir), path, tokens.default_vocabulary(), end_id=2)
     return token_store.read_tokens(spark, path)
 

@@ -43,6 +43,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def fresh_uri(spark: SparkSession, name: str) -> str:
+    """A fresh path with its scheme, as Arrow's file systems want it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, name))
+    uri = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder; its lineage ends there."""
     path = fresh_path(df.sparkSession, name)
