@@ -84,7 +84,7 @@ def swaps(words: set[bytes], terms: tuple[tuple[str, ...], ...]) -> list[set[byt
 class Model:
     """Scores texts; ``weights`` maps features to weights."""
 
-    def __init__(self, base: float, weights: dict[str, float], remember: int = 600_000):
+    def __init__(self, base: float, weights: dict[str, float], remember: int = 200_000):
         self.base, self.weights, self.remember = base, weights, remember
         self.known = {f.lstrip("23") for f in weights}
         self._forget()
