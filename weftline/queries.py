@@ -383,7 +383,7 @@ def vec_minus(spark, d):
     return linalg.minus(*_two(spark, d))
 
 
-@query(f"SELECT round(sum(a.v * b.v), 6) AS value FROM {_EVEN} a JOIN {_THIRD} b ON a.idx = b.idx")
+@query(f"SELECT round(sum(a.v * b.v), 6) + 0.0 AS value FROM {_EVEN} a JOIN {_THIRD} b ON a.idx = b.idx")
 def vec_inner(spark, d):
     return linalg.inner(*_two(spark, d)).select(F.round("value", 6).alias("value"))
 
@@ -403,7 +403,7 @@ def vec_map(spark, d):
     return linalg.negate(linalg.shift(linalg.scale(vector(spark, d, 0), 2), 1))
 
 
-@query("SELECT round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS value FROM embeddings")
+@query("SELECT round(sum(CAST(embedding[1] AS DOUBLE)), 6) + 0.0 AS value FROM embeddings")
 def vec_sum(spark, d):
     return linalg.reduce(vector(spark, d, 0), "sum").select(F.round("value", 6).alias("value"))
 
@@ -411,28 +411,28 @@ def vec_sum(spark, d):
 _CELLS = "(SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings)"
 
 
-@query(f"SELECT vec_id AS idx, round(sum(x * (c + 1)), 6) AS v FROM {_CELLS} GROUP BY 1")
+@query(f"SELECT vec_id AS idx, round(sum(x * (c + 1)), 6) + 0.0 AS v FROM {_CELLS} GROUP BY 1")
 def mat_dot(spark, d):
     m = matrix(spark, d)
     return linalg.dot(m, range(1, 65)).select("idx", F.round("v", 6).alias("v"))
 
 
-@query(f"SELECT c AS idx, round(sum(x), 6) AS v FROM {_CELLS} GROUP BY 1")
+@query(f"SELECT c AS idx, round(sum(x), 6) + 0.0 AS v FROM {_CELLS} GROUP BY 1")
 def mat_sum_rows(spark, d):
     return linalg.reduce_rows(matrix(spark, d)).select("idx", F.round("v", 6).alias("v"))
 
 
-@query(f"SELECT vec_id AS idx, round(sum(x), 6) AS v FROM {_CELLS} GROUP BY 1")
+@query(f"SELECT vec_id AS idx, round(sum(x), 6) + 0.0 AS v FROM {_CELLS} GROUP BY 1")
 def mat_sum_cols(spark, d):
     return linalg.reduce_columns(matrix(spark, d)).select("idx", F.round("v", 6).alias("v"))
 
 
-@query(f"WITH s AS (SELECT c, avg(x) AS m, sum(x * x) AS q FROM {_CELLS} GROUP BY 1) SELECT vec_id AS idx, c AS col, round((x - m) / sqrt(q), 6) AS x FROM {_CELLS} t JOIN s USING (c)")
+@query(f"WITH s AS (SELECT c, avg(x) AS m, sum(x * x) AS q FROM {_CELLS} GROUP BY 1) SELECT vec_id AS idx, c AS col, round((x - m) / sqrt(q), 6) + 0.0 AS x FROM {_CELLS} t JOIN s USING (c)")
 def mat_norm(spark, d):
     return linalg.cells(linalg.normalised(matrix(spark, d))).select("idx", F.col("col").cast("long").alias("col"), F.round("x", 6).alias("x"))
 
 
-@query(f"SELECT t.vec_id AS idx, c AS col, round(x * CAST(e.embedding[1] AS DOUBLE), 6) AS x FROM {_CELLS} t JOIN embeddings e ON t.vec_id = e.vec_id WHERE t.vec_id % 2 = 0")
+@query(f"SELECT t.vec_id AS idx, c AS col, round(x * CAST(e.embedding[1] AS DOUBLE), 6) + 0.0 AS x FROM {_CELLS} t JOIN embeddings e ON t.vec_id = e.vec_id WHERE t.vec_id % 2 = 0")
 def mat_zip_map(spark, d):
     out = linalg.zip_rows(matrix(spark, d), _two(spark, d)[0], lambda x, v: x * v)
     return linalg.cells(out).select("idx", F.col("col").cast("long").alias("col"), F.round("x", 6).alias("x"))
@@ -448,7 +448,7 @@ def mat_row(spark, d):
     return linalg.row(matrix(spark, d), 3)
 
 
-@query(f"SELECT round(sum(x), 5) AS value FROM {_CELLS}")
+@query(f"SELECT round(sum(x), 5) + 0.0 AS value FROM {_CELLS}")
 def mat_sum(spark, d):
     return linalg.total(matrix(spark, d)).select(F.round("value", 5).alias("value"))
 
@@ -459,13 +459,13 @@ _W = [0.01 * (i % 7 - 3) for i in range(64)]
 _ERRORS = f"(SELECT vec_id, label, sum(x * (0.01 * (c % 7 - 3))) AS p FROM {_CELLS} JOIN embeddings USING (vec_id) GROUP BY 1, 2)"
 
 
-@query(f"SELECT c AS pos, round(avg((p - label) * x), 6) AS g FROM {_CELLS} JOIN {_ERRORS} USING (vec_id) GROUP BY 1")
+@query(f"SELECT c AS pos, round(avg((p - label) * x), 6) + 0.0 AS g FROM {_CELLS} JOIN {_ERRORS} USING (vec_id) GROUP BY 1")
 def linear_regression_step(spark, d):
     points = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
     return iterative.gradient(points, _W, iterative.squared_error).select(F.col("pos").cast("long").alias("pos"), F.round("g", 6).alias("g"))
 
 
-@query(f"SELECT c AS pos, round(avg((1 / (1 + exp(-p)) - label % 2) * x), 6) AS g FROM {_CELLS} JOIN {_ERRORS} USING (vec_id) GROUP BY 1")
+@query(f"SELECT c AS pos, round(avg((1 / (1 + exp(-p)) - label % 2) * x), 6) + 0.0 AS g FROM {_CELLS} JOIN {_ERRORS} USING (vec_id) GROUP BY 1")
 def logistic_regression_step(spark, d):
     points = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 2).cast("double").alias("y"))
     return iterative.gradient(points, _W, iterative.logistic_error).select(F.col("pos").cast("long").alias("pos"), F.round("g", 6).alias("g"))
@@ -475,7 +475,7 @@ _CENTRES = [[0.05 * ((i * (k + 1)) % 5 - 2) for i in range(64)] for k in range(3
 _DISTANCES = " UNION ALL ".join(f"SELECT vec_id, {k} AS k, sum((x - 0.05 * ((c * {k + 1}) % 5 - 2)) * (x - 0.05 * ((c * {k + 1}) % 5 - 2))) AS d FROM {_CELLS} GROUP BY 1" for k in range(3))
 
 
-@query(f"WITH a AS (SELECT vec_id, min_by(k, d) AS cluster FROM ({_DISTANCES}) GROUP BY 1) SELECT cluster, c AS pos, round(avg(x), 6) AS v FROM {_CELLS} JOIN a USING (vec_id) GROUP BY 1, 2")
+@query(f"WITH a AS (SELECT vec_id, min_by(k, d) AS cluster FROM ({_DISTANCES}) GROUP BY 1) SELECT cluster, c AS pos, round(avg(x), 6) + 0.0 AS v FROM {_CELLS} JOIN a USING (vec_id) GROUP BY 1, 2")
 def kmeans_step(spark, d):
     points = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"))
     return iterative.centre_step(points, _CENTRES).select("cluster", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("v"))
@@ -510,7 +510,7 @@ def metric_retention(spark, d):
     return metrics.retained(points(spark, d), 3, "event_id").select("prop", "key", "event_id")
 
 
-@query(f"SELECT round(coalesce(sum(value) FILTER (prop = 'click' AND key = '1'), 0) + coalesce(sum(value) FILTER (prop = 'view' AND key = '1'), 0), 4) AS value FROM {_POINTS}")
+@query(f"SELECT round(coalesce(sum(value) FILTER (prop = 'click' AND key = '1'), 0) + coalesce(sum(value) FILTER (prop = 'view' AND key = '1'), 0), 4) + 0.0 AS value FROM {_POINTS}")
 def metric_compute_val(spark, d):
     return metrics.computed(points(spark, d), ("click", "1"), "+", ("view", "1"), now=latest(spark, d), duration_ms=0).select(F.round("value", 4).alias("value"))
 
