@@ -1,7 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
 
-Texts and items become sequences of word hashes (A-Z lower-cased, cut at every ASCII character
-but letters and digits). The CGK embedding of a window walks along it: each step writes the
+Texts and items become sequences of word hashes (lower-cased, cut at every ASCII character but
+letters and digits). The CGK embedding of a window walks along it: each step writes the
 word under the pointer, then moves on or not, as that word's random bit of the step says. Two
 sequences with a small edit distance fall into step soon after an edit, so their embeddings
 have a small Hamming distance. Each repetition draws its own walk and samples ``sampled`` steps;
@@ -60,7 +60,7 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class ItemIndex:
     """The windows of a block of items, by repetition and size."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], *, stride: int = 8, repetitions: int = 4, sampled: int = 5, max_edits: float = 0.2, seed: int = 1):
+    def __init__(self, items: list[tuple[int, np.ndarray]], *, stride: int = 8, repetitions: int = 8, sampled: int = 5, max_edits: float = 0.2, seed: int = 1):
         self.items = [(i, w) for i, w in items if len(w)]
         self.stride, self.repetitions, self.sampled, self.max_edits, self.seed = stride, repetitions, sampled, max_edits, seed
         self.plans: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (stride, size): (item, place)
@@ -163,7 +163,7 @@ class ItemIndex:
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The items' word hashes in blocks; the driver holds one block and a partition of items at a time."""
     block, size = [], 0
-    for row in items.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
+    for row in items.select(F.col(id_col).cast("long"), F.lower(text_col)).toLocalIterator():
         hashes, _ = word_hashes(*utf8(pa.array([row[1]], pa.string())), NOT_ALNUM)
         block.append((row[0], hashes))
         size += len(hashes)
@@ -180,7 +180,7 @@ def _text_words(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarr
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = 200_000, **options) -> DataFrame:
     """A row per text and item found in it: ``id_col``, ``item_id_col``, edits, item_words, match_end (in words)."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
     ddl = f"`{id_col}` {kind}, `{item_id_col}` long, edits int, item_words int, match_end long"
     found = None
@@ -204,7 +204,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = 200_000, **options) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found, with all columns."""
-    at = docs.columns.index(text_col)
+    at, schema = len(docs.columns), docs.schema
     for block in item_blocks(items, item_id_col, item_text_col, block_words):
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, **options))
 
@@ -213,7 +213,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "tex
                 for part in slices(batch, at, 1 << 19):
                     clean = np.ones(part.num_rows, bool)
                     clean[[hit[0] for hit in index.value.matches(*_text_words(part, at))]] = False
-                    yield part.filter(pa.array(clean))
+                    yield part.select(range(at)).filter(pa.array(clean))
 
-        docs = arrow_map(docs, keep, docs.schema)
+        docs = arrow_map(docs.select("*", F.lower(text_col).alias("_words")), keep, schema)
     return docs
