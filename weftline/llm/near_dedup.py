@@ -2,16 +2,15 @@
 
 A document's set holds the hashes of its distinct shingles of ``width`` words. Documents with
 equal sets are one node from the start, so copies never meet in a band. Nodes that share a band
-are linked to a hub of that band if their full sets are similar enough; a second hub, chosen at
-random, is tried for members whose component differs from it. In bands that still hold several
-components, members of different components are compared block by block through their
-signatures, and those that may be similar are verified too: so every pair that shares a band
-is linked directly or already connected. With 32 bands of 4 rows, a pair with similarity 0.8
+are linked to two hubs of that band, its smallest node and a random one, if their full sets are
+similar enough. In bands that still hold several components, members of different components
+are compared block by block, through their signatures first, then by their full sets: so every
+pair that shares a band is linked directly or already connected. With 32 bands of 4 rows, a pair with similarity 0.8
 shares none with probability 5e-8.
 
 Defined cases: null and empty texts, or texts without words, have an empty set and are linked
 with nothing; a row with a null id is linked with nothing and has a null component; rows that
-repeat an id are one node; other columns are ignored; an empty table gives an empty result.
+repeat an id are expected to repeat the text, else one of the texts stands for all; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.graph import connected_components
@@ -30,7 +29,7 @@ from weftline.llm.shared import arrow_map, drop_written, slices, written
 from weftline.llm.words import shingles, utf8, word_hashes
 
 #: Members of a band that are compared in one block.
-BLOCK = 256
+BLOCK = 512
 
 
 def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -53,24 +52,11 @@ def _described(rows: DataFrame, width: int, slots: int, band_rows: int) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array(n, pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([s.tobytes() for s in low], pa.binary()),
+                        pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1], keys.reshape(-1)), pa.array([s.tobytes() for s in low], pa.binary()),
                     ], names=["id", "n", "print", "bands", "sig"],
                 )
 
-    return arrow_map(rows, describe, "id long, n long, print binary, bands binary, sig binary")
-
-
-def _exploded(nodes: DataFrame) -> DataFrame:
-    """(key, node) for each band of each node."""
-
-    def explode(batches):
-        for batch in batches:
-            bands = batch.column(1).to_pylist()
-            if bands:
-                keys = np.frombuffer(b"".join(bands), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), len(keys) // len(bands)))], names=["key", "node"])
-
-    return arrow_map(nodes.select("id", "bands"), explode, "key long, node long")
+    return arrow_map(rows, describe, "id long, n long, print binary, bands array<long>, sig binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -100,43 +86,84 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return arrow_map(rows, verify, "a long, b long")
 
 
-def _starred(members: DataFrame, hub: Column) -> DataFrame:
-    """(a, b): each member with the hub of its band, where their labels differ.
-
-    ``members`` has key, node, label; the hub is the node with the smallest ``hub``.
-    """
-    hubs = members.groupBy("key").agg(F.min(F.struct(hub.alias("h"), F.col("node").alias("b"), F.col("label").alias("lb"))).alias("x"))
-    hubs = hubs.select("key", "x.b", "x.lb")
-    return members.join(hubs, "key").filter("label <> lb").select(F.col("node").alias("a"), "b").distinct()
+def _starred(members: DataFrame) -> DataFrame:
+    """(a, b): each node with two hubs of each of its bands, the smallest node and a random one."""
+    random = F.struct(F.xxhash64("node", "key").alias("h"), "node")
+    hubs = written(members.groupBy("key").agg(F.min("node").alias("x"), F.min(random).alias("y")).select("key", F.explode(F.array_distinct(F.array("x", "y.node"))).alias("b")), "hubs")
+    pairs = members.join(hubs, "key").filter("node <> b")
+    return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
-def _blocked(mixed: DataFrame, sigs: DataFrame, slots: int, percent: int) -> DataFrame:
-    """Pairs of members of a band, with different labels, whose signatures allow the similarity.
+def _links_of_blocks(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, slots: int, width: int, percent: int) -> DataFrame:
+    """(a, b): links between members of a band that have different labels, as far as they connect labels.
 
-    ``mixed`` has key, node, label, size. A band is cut into chunks of about ``BLOCK`` members
-    and each two chunks form a block, so no task holds a band, and rows stay far from pairs.
+    ``mixed`` has key, node, label, size, and the label most members have with their number,
+    ``major`` and ``n_major``. These members are connected already, so only the others need
+    comparing, with each other and with these. Both kinds are cut into chunks of about ``BLOCK``
+    members; a chunk of others and any chunk form a block. So a band in which most are connected
+    costs little more than its members. A pair belongs to the first band it shares. Where the
+    signatures allow the similarity, the block's row of a member lists its partners, and the
+    full sets are compared when the block's members are brought together with their texts: no
+    task holds a band, and pairs that are no links never become rows.
     """
-    least = int((percent / 100 - 5.3 * (percent / 100 * (1 - percent / 100) / slots) ** 0.5) * slots)
-    chunks = F.ceil(F.col("size") / BLOCK).cast("long")
-    rows = mixed.withColumn("chunk", F.pmod(F.xxhash64("node", "key"), chunks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    rows = rows.select("key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "label").join(sigs.select(F.col("id").alias("node"), "sig"), "node")
-
-    def compare(table: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, slots)
+    share = percent / 100
+    least = int((share - 5.3 * (share * (1 - share) / slots) ** 0.5) * slots)
+    chunks_of = lambda n: F.ceil(n / BLOCK).cast("long")
+    few, many, is_major = chunks_of(F.col("size") - F.col("n_major")), chunks_of(F.col("n_major")), F.col("label") == F.col("major")
+    place = F.xxhash64("node", "key")
+    rows = mixed.withColumn("chunk", F.when(is_major, few + F.pmod(place, many)).otherwise(F.pmod(place, few)))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_major, few).otherwise(few + many) - 1)))
+    rows = rows.select("key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "label")
+    rows = rows.join(nodes.select(F.col("id").alias("node"), "sig", "bands"), "node")
+
+    def list_partners(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, slots)
+        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(n, -1)
         node, label, chunk = (table.column(c).to_numpy() for c in ("node", "label", "chunk"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        band = int(np.flatnonzero(bands[0] == key)[0])
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        a, b = [], []
+        partners: dict[int, list[int]] = {}
         for x in left:
-            hit = right[((sig[right] == sig[x]).sum(axis=1) >= least) & (label[right] != label[x])]
+            hit = right[(label[right] != label[x]) & ((sig[right] == sig[x]).sum(axis=1) >= least)]
             if i == j:
                 hit = hit[node[hit] > node[x]]
-            a.append(node[hit])
-            b.append(np.full(len(hit), node[x]))
-        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
+            hit = hit[~(bands[hit, :band] == bands[x, :band]).any(axis=1)]
+            if len(hit):
+                partners.setdefault(x, []).extend(node[hit].tolist())
+                for y in hit:
+                    partners.setdefault(y, [])
+        at = list(partners)
+        return pa.table({"block": pa.array([f"{key}.{i}.{j}"] * len(at), pa.string()), "node": pa.array(node[at] if at else [], pa.int64()), "label": pa.array(label[at] if at else [], pa.int64()), "partners": pa.array(list(partners.values()), pa.list_(pa.int64()))})
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
+        sets = {}
+        for batch in table.select(["node", "text"]).combine_chunks().to_batches():
+            for part in slices(batch, 1, 1 << 19):
+                sets.update(zip(part.column(0).to_pylist(), _sets(part.column(1), width), strict=True))
+        of, top = dict(zip(node, label, strict=True)), {x: x for x in label}
 
-    found = rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        def root(x):
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        a, b = [], []
+        for x, others in zip(node, table.column("partners").to_pylist(), strict=True):
+            for y in others:
+                p, q, rx, ry = sets[x], sets[y], root(of[x]), root(of[y])
+                if rx != ry and 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                    both = np.intersect1d(p, q, assume_unique=True).size
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        top[rx] = ry
+                        a.append(x)
+                        b.append(y)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    listed = rows.groupBy("key", "i", "j").applyInArrow(list_partners, "block string, node long, label long, partners array<long>")
+    return listed.join(texts.withColumnRenamed("id", "node"), "node").groupBy("block").applyInArrow(compare, "a long, b long")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 4) -> DataFrame:
@@ -151,30 +178,26 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     sets = written(_described(rows, width, slots, band_rows), "sets")
     usable = sets.filter("n > 0 and id is not null")
     classes = written(usable.groupBy("print").agg(F.min("id").alias("node")), "classes")
-    nodes = written(usable.join(classes, "print").filter("id = node").dropDuplicates(["id", "print"]).select("id", "bands", "sig"), "nodes")
-    banded = _exploded(nodes)
+    nodes = written(usable.join(classes, "print").filter("id = node").dropDuplicates(["id"]).select("id", "bands", "sig"), "nodes")
+    banded = nodes.select(F.col("id").alias("node"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(banded.join(shared, "key"), "members")
-    wanted = members.select(F.col("node").alias("id")).distinct()
-    texts = written(rows.join(wanted, "id", "left_semi"), "texts")
-
-    own = members.withColumn("label", F.col("node"))
-    links = written(_verified(_starred(own, F.col("node")), texts, width, percent), "links")
-    for last in (False, True):
-        labels = connected_components(links)
-        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        mixed = written(now.join(several, "key"), "mixed")
-        pairs = _blocked(mixed, nodes, slots, percent) if last else _starred(mixed, F.xxhash64("node", "key"))
-        more = written(links.unionByName(_verified(pairs, texts, width, percent)), "links")
-        drop_written(links, mixed)
-        links = more
+    texts = written(rows.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+    links = written(_verified(_starred(members), texts, width, percent), "links")
     labels = connected_components(links)
-    drop_written(links, members, texts)
+    now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    shares = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("m"))
+    several = written(shares.filter("labels > 1").select("key", F.col("m.label").alias("major"), F.col("m.n").alias("n_major")), "mixed")
+    mixed = now.join(several, "key")
+    more = written(_links_of_blocks(mixed, nodes, texts, slots, width, percent), "links")
+    if more.limit(1).count():
+        labels = connected_components(links.unionByName(more))
+    drop_written(links, members, several, texts, nodes)
     tops = written(classes.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component_id")), "tops")
+    drop_written(classes)
     linked = usable.select("id", "n", "print").join(tops, "print").select("id", "n", "component_id")
     alone = sets.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    drop_written(nodes, classes)
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
