@@ -60,7 +60,7 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class ItemIndex:
     """The windows of a block of items, by repetition and size."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], *, stride: int = 8, repetitions: int = 8, sampled: int = 5, max_edits: float = 0.2, seed: int = 1):
+    def __init__(self, items: list[tuple[int, np.ndarray]], *, stride: int = 8, repetitions: int = 8, sampled: int = 6, max_edits: float = 0.2, seed: int = 1):
         self.items = [(i, w) for i, w in items if len(w)]
         self.stride, self.repetitions, self.sampled, self.max_edits, self.seed = stride, repetitions, sampled, max_edits, seed
         self.plans: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (stride, size): (item, place)
@@ -95,16 +95,21 @@ class ItemIndex:
         samples = {s: set(np.sort(rng.choice(_rounds(s), min(self.sampled, _rounds(s)), replace=False)).tolist()) for s in sorted(self.all_sizes(), reverse=True)}
         steps = max(max(samples[s]) for s in sizes) + 1
         bits = self._bits(words, rep, steps)
-        words, bits = np.append(words, _U(0)), [np.append(b, _U(0)) for b in bits]
-        place, last = at.copy(), len(words) - 1
+        # a walk passes the last word by no more than its steps
+        words, bits = np.append(words, np.zeros(steps, _U)), [np.append(b, np.zeros(steps, _U)) for b in bits]
+        place = at.copy()
         keys = {s: np.zeros(len(at), _U) for s in sizes}
         for step in range(steps):
             for s in sizes:
                 if step in samples[s]:
                     keys[s] = mix(keys[s] * _U(0xD6E8FEB86659FD93) + words[place] + _U(step + 1))
             if step + 1 < steps:
-                place += (bits[step >> 6][place] >> _U(step & 63) & _U(1)).astype(np.int64)
-                np.minimum(place, last, out=place)
+                if step % 8 == 0:  # the bits of eight steps in a byte
+                    octet = (bits[step >> 6] >> _U(step & 56)).astype(np.uint8)
+                move = octet[place]
+                move >>= np.uint8(step & 7)
+                move &= np.uint8(1)
+                place += move
         return keys
 
     def all_sizes(self) -> list[int]:
