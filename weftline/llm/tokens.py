@@ -23,7 +23,7 @@ _LOADED: dict[tuple[str, int], WordCachedTokenizer] = {}
 class WordCachedTokenizer:
     """Encodes texts to uint32 ids. At most ``limit`` pieces are remembered, then all are forgotten."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -106,7 +106,7 @@ class WordCachedTokenizer:
         return out
 
 
-def tokenizer(path: str, limit: int = 250_000) -> WordCachedTokenizer:
+def tokenizer(path: str, limit: int = 600_000) -> WordCachedTokenizer:
     """One tokenizer a worker process and file."""
     key = (path, limit)
     if key not in _LOADED:
