@@ -150,3 +150,24 @@ def test_line_groups_equal_brute_force(spark, lined):
     kept = {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()}
     for i, t in lined:
         assert kept[i] == (t if not got[i][2] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in got[i][2]))
+
+
+def test_lines_are_linked_by_edit_similarity_alone(spark):
+    rng = random.Random(8)
+    rows, n = [], 0
+    for size in (6, 10, 20, 30, 60):
+        for _ in range(20):
+            words = [rng.choice(WORDS) for _ in range(size)]
+            other = list(words)
+            for k in rng.sample(range(size), size // 6 if size > 6 else 1):
+                other[k] = rng.choice(WORDS)
+            if edits(" ".join(words), " ".join(other)) <= int(max(len(" ".join(words)), len(" ".join(other))) * 0.2 + 1e-9):
+                n += 1
+                rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
+    rows += [(1000, long), (1001, long[:150] + "0" + long[151:]), (1002, "abcdefgh"), (1003, "abcdefgx"), (1004, "abcdxxxx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_kept for r in line_dedup.dropped_lines(docs, max_bits=None).collect()}
+    assert all(got[2 * k] == 1 for k in range(1, n + 1)) and n >= 80
+    assert sum(got[2 * k + 1] == 0 for k in range(1, n + 1)) >= 0.95 * n
+    assert (got[1001], got[1003], got[1004]) == (0, 0, 1)

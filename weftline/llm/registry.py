@@ -20,7 +20,7 @@ def op3_exact_dedup(spark, sf_dir):
 
 
 def op4_fuzzy_line_dedup(spark, sf_dir):
-    return line_dedup.dropped_lines(shared.documents(spark, sf_dir))
+    return line_dedup.dropped_lines(shared.documents(spark, sf_dir), max_bits=None)
 
 
 #: Tools that chats may call, with their arguments' schemas.
