@@ -198,3 +198,17 @@ def test_counterfactual_penalty_takes_the_group_out_of_the_score(spark):
     assert plain.logit(neutral) - plain.logit(swapped) > 1
     assert abs(fair.logit(neutral) - fair.logit(swapped)) < 0.3
     assert fair.score("you are the vilest " + fill[1]) > 0.7 > fair.score(neutral)
+
+
+def test_scores_do_not_depend_on_the_share_of_labels_sampled(spark):
+    rng = random.Random(6)
+    fill = [f"f{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(300)]
+    given = [(i, int(i % 10 == 0)) for i in range(3000)]
+    rows = [(i, " ".join(rng.sample(fill, 8) + (["vilest"] if rng.random() < (0.6 if toxic else 0.06) else []))) for i, toxic in given]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(given, "doc_id long, toxic int")
+    whole = toxicity.train(docs, labels)
+    part = toxicity.train(docs, labels, max_train=300)  # 150 of each kind
+    for text in ("", "the vilest"):
+        assert abs(whole.logit(text) - part.logit(text)) < 0.6
+    only = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, toxic int")
+    assert toxicity.train(docs, only, max_train=20).score("x") > 0.99

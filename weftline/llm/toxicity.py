@@ -10,7 +10,9 @@ squared difference of their logits, so a neutral mention of a group does not mov
 
 The training sample is bounded: at most ``max_train`` labelled texts, half of them toxic at
 most, in the order of a hash of their ids. The counts, the fit's rows and the model are bounded
-by it and by ``max_features``. Every text is scored whole.
+by it and by ``max_features``. Every text is scored whole. The kinds are sampled at different
+rates, so the intercept is moved back by the logarithm of the rates' ratio: scores mean the share
+of toxic labels among all that may train, however many there are.
 
 Defined cases: a null or empty text scores the model's base rate; a null id is the empty string
 in the hold-out rule; of several labels for an id the highest counts, null labels none; without
@@ -157,12 +159,16 @@ def train(
     given = given.groupBy("_id").agg(F.max("_y").alias("_y"))
     by_hash = [F.xxhash64(F.col("_id")), F.col("_id")]
     half = max_train // 2
+    n_pos, n_neg = given.agg(F.count(F.when(F.col("_y") >= 1, 1)), F.count(F.when(F.col("_y") < 1, 1))).first()
+    rates = [min(most, n) / n if n else 1.0 for most, n in ((half, n_pos), (max_train - half, n_neg))]
     chosen = given.filter("_y >= 1").orderBy(*by_hash).limit(half).unionByName(given.filter("_y < 1").orderBy(*by_hash).limit(max_train - half))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # at most max_train ids are broadcast
     sample = texts.join(F.broadcast(chosen), "_id").repartition(8, "_id").select("_y", "_text").persist()
     try:
-        return _fit(sample, max_features, min_z, min_lift, terms, counterfactual, l2)
+        model = _fit(sample, max_features, min_z, min_lift, terms, counterfactual, l2)
+        model.base += float(np.log(rates[1] / rates[0])) if all(rates) else 0.0
+        return model
     finally:
         sample.unpersist()
 
