@@ -212,3 +212,23 @@ def test_scores_do_not_depend_on_the_share_of_labels_sampled(spark):
         assert abs(whole.logit(text) - part.logit(text)) < 0.6
     only = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, toxic int")
     assert toxicity.train(docs, only, max_train=20).score("x") > 0.99
+
+
+def edited(rng, words, n):
+    """The words with n of them replaced, deleted or put before another."""
+    words = list(words)
+    for _ in range(n):
+        k = rng.randrange(len(words))
+        words[k : k + 1] = rng.choice([["zz"], [], ["zz", words[k]]])
+    return words
+
+
+def test_items_with_a_fifth_of_their_words_edited_are_found_at_every_length():
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    fill = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [fill(n) for n in range(5, 65) for _ in range(6)]
+    index = ItemIndex([(i, hashed(" ".join(w))[0]) for i, w in enumerate(items)])
+    for i, words in enumerate(items):
+        doc = [*fill(rng.randint(0, 40)), *edited(rng, words, len(words) // 5), *fill(rng.randint(0, 40))]
+        assert any(m[1] == i for m in index.matches(*hashed(" ".join(doc)))), len(words)

@@ -5,7 +5,11 @@ letters and digits). The CGK embedding of a window walks along it: each step wri
 word under the pointer, then moves on or not, as that word's random bit of the step says. Two
 sequences with a small edit distance fall into step soon after an edit, so their embeddings
 have a small Hamming distance. Each repetition draws its own walk and samples ``sampled`` steps;
-windows that agree on all of them become candidates. Repetitions give the recall.
+windows that agree on all of them become candidates. Repetitions find most edited copies.
+
+The rest is found by pieces: an item of n words with at most k = ``max_edits`` * n edits, cut into
+k + 1 pieces, has a piece without an edit, so the pieces are looked up at every word of the
+texts, too. With them every copy within ``max_edits`` is a candidate, of any length and anywhere.
 
 Windows come in sizes of powers of two. An item uses the largest size w with w + stride - 1
 words in it at most, and its windows at every place are indexed; a text's windows start at
@@ -80,6 +84,28 @@ class ItemIndex:
                 seen = np.zeros(1 << _FILTER_BITS, bool)
                 seen[keys & _U((1 << _FILTER_BITS) - 1)] = True
                 self.tables[step, size, rep] = keys[order], order, seen
+        cut: dict[int, list[tuple[int, int]]] = {}  # size: (item, place)
+        for k, (_, own) in enumerate(self.items):
+            parts = min(int(max_edits * len(own)) + 1, len(own))
+            bounds = [p * len(own) // parts for p in range(parts + 1)]
+            for a, b in zip(bounds, bounds[1:]):
+                cut.setdefault(b - a, []).append((k, a))
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # size: (keys, (item, place), filter)
+        for size, keys in self._runs(words, set(cut)):
+            keys = keys[[starts[k] + p for k, p in cut[size]]]
+            order = np.argsort(keys, kind="stable")
+            seen = np.zeros(1 << _FILTER_BITS, bool)
+            seen[keys & _U((1 << _FILTER_BITS) - 1)] = True
+            self.pieces[size] = keys[order], np.array(cut[size])[order], seen
+
+    @staticmethod
+    def _runs(words: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(size, hashes of the runs of so many words from each place) for each size that fits."""
+        keys = np.zeros(len(words), _U)
+        for size in range(1, min(max(sizes, default=0), len(words)) + 1):
+            keys = mix(keys[: len(words) - size + 1] * _U(0xD6E8FEB86659FD93) + words[size - 1 :] + _U(size))
+            if size in sizes:
+                yield size, keys
 
     def _bits(self, words: np.ndarray, rep: int, steps: int) -> list[np.ndarray]:
         """64 steps' bits for each word at a time."""
@@ -116,7 +142,7 @@ class ItemIndex:
         return sorted({size for _, size in self.plans})
 
     def candidates(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, place of the item's first word in ``words``) for windows that collide."""
+        """(text, item, place of the item's first word in ``words``) for windows that collide and pieces that occur."""
         n = np.diff(ends)
         by_step: dict[int, list[int]] = {}
         for step, size in self.plans:
@@ -141,6 +167,15 @@ class ItemIndex:
                         for o in order[lo[x] : hi[x]]:
                             item, place = self.plans[step, size][o]
                             found.add((int(text[w]), item, int(at[w]) - place))
+        for size, keys in self._runs(words, set(self.pieces)):
+            known, owner, seen = self.pieces[size]
+            maybe = np.flatnonzero(seen[keys & _U((1 << _FILTER_BITS) - 1)])
+            text = np.searchsorted(ends, maybe, side="right") - 1
+            inside = maybe + size <= ends[text + 1]
+            maybe, text = maybe[inside], text[inside]
+            lo, hi = np.searchsorted(known, keys[maybe]), np.searchsorted(known, keys[maybe], side="right")
+            for x in np.flatnonzero(hi > lo):
+                found.update((int(text[x]), int(item), int(maybe[x]) - int(place)) for item, place in owner[lo[x] : hi[x]])
         yield from sorted(found)
 
     def matches(self, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
