@@ -232,3 +232,21 @@ def test_items_with_a_fifth_of_their_words_edited_are_found_at_every_length():
     for i, words in enumerate(items):
         doc = [*fill(rng.randint(0, 40)), *edited(rng, words, len(words) // 5), *fill(rng.randint(0, 40))]
         assert any(m[1] == i for m in index.matches(*hashed(" ".join(doc)))), len(words)
+
+
+@pytest.mark.parametrize("name", ["Peter Müller", "Maria García", "Anna Nuñez", "Peter O'Brien", "Anna Королёва", "Hans Schmidt", "José Lopez", "Anna Smith-Jones"])
+def test_names_of_any_letters_are_replaced_whole(name):
+    text, kinds = surrogates.rewritten(f"Then {name} came.", lambda k, v: surrogates.surrogate(k, v, b"k"))
+    assert kinds == ["name"] and name.split()[1] not in text
+    assert surrogates.entities(f"Then {name}'s car")[0][:2] == (5, 5 + len(name))
+
+
+def test_mentions_of_an_entity_agree(spark):
+    rows = [(1, "call +1 (212) 555-0199 or +1 212 555 0199"), (2, "4111111111111111 or 4111 1111 1111 1111"), (3, "Jo@Mail.org or jo@mail.org"), (4, "Maria Petrova came. Maria and Petrova's son left Mariana.")]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    digits = lambda t: re.sub(r"\D", "", t)
+    for i in (1, 2, 3):
+        a, b = got[i].text.removeprefix("call ").split(" or ")
+        assert (digits(a) == digits(b) and digits(a)) if i < 3 else a.lower() == b and a[0].isupper()
+    given, family = got[4].text.split(" came.")[0].split()
+    assert got[4].text == f"{given} {family} came. {given} and {family}'s son left Mariana." and family != "Petrova"

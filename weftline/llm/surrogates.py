@@ -5,7 +5,11 @@ the format's numbers, walked until the result has the format again): digits stay
 letters stay letters of their script and case, separators stay, card numbers keep their
 issuer's digit and whether their check digit is right, addresses stay addresses that are not
 reserved, given names stay names of their gender and script. So equal entities get equal
-surrogates everywhere, and different ones different surrogates.
+surrogates everywhere, and different ones different surrogates. Cards, phones and IBANs are equal
+if their signs are, however spaced, addresses if they are but for case; a surrogate is written as
+the mention is. A given or family name that follows a full name in its text gets that name's part.
+
+Names are a given name of ``GIVEN_NAMES``, a blank and a capitalised word; other names are not seen.
 
 A surrogate could still be a value that somebody else in the corpus has. The entities of the
 whole corpus are therefore gathered as a distinct table; an entity whose surrogate is one of
@@ -33,12 +37,12 @@ from weftline.llm.shared import arrow_map, slices, written
 
 #: Given names by script and gender; a name is replaced by another of its list.
 GIVEN_NAMES: dict[tuple[str, str], tuple[str, ...]] = {
-    ("latin", "female"): ("Alice", "Anna", "Clara", "Diana", "Elena", "Emma", "Julia", "Laura", "Maria", "Nora", "Sara", "Sofia"),
-    ("latin", "male"): ("Adam", "Carlos", "David", "Erik", "Hugo", "James", "John", "Lucas", "Martin", "Oscar", "Paul", "Peter"),
-    ("cyrillic", "female"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "Татьяна"),
-    ("cyrillic", "male"): ("Алексей", "Борис", "Виктор", "Дмитрий", "Иван", "Николай", "Олег", "Сергей"),
+    ("latin", "female"): tuple("Agnes Alice Amelia Amy Ana Andrea Angela Anna Anne Barbara Beatriz Birgit Camille Carla Carmen Caroline Catherine Charlotte Chloé Christine Clara Claire Claudia Cristina Diana Dorothy Elena Elisabeth Elizabeth Emily Emma Eva Françoise Gabriele Hannah Heike Helen Helena Inès Ingrid Isabel Isabelle Jennifer Jessica Joanna Julia Julie Karen Karin Katharina Laura Léa Linda Lisa Lucía Lucy Manon Margaret Maria María Marie Marta Martina Mary Michelle Monika Mónica Nancy Nicole Nora Olivia Patricia Paula Petra Pilar Rachel Rebecca Rosa Ruth Sabine Sandra Sara Sarah Silvia Sofia Sofía Sophie Stefanie Susan Susanne Sylvie Teresa Ursula Valérie Victoria".split()),
+    ("latin", "male"): tuple("Adam Alain Alan Alberto Alejandro Alexander Andreas Andrew Ángel Anthony Antoine Antonio Benjamin Bernd Brian Carlos Charles Christian Christopher Daniel David Diego Dieter Edward Enrique Eric Erik Felix Fernando Francisco Franz François Frank Frédéric George Gérard Günter Hans Heinrich Henry Hugo Ivan Jack Jacques James Jan Javier Jean Jens Jérôme Johannes John Jonas Jorge José Joseph Juan Julien Jürgen Karl Kevin Klaus Kurt Louis Lucas Luis Manuel Marc Marcel Mario Mark Martin Matthew Max Michael Michel Miguel Nicolas Olivier Oscar Otto Pablo Patrick Paul Pedro Peter Philippe Pierre Rafael Ralf Ramón Raúl Richard Robert Roberto Sebastian Sergio Simon Stefan Stephen Steven Thomas Uwe Werner William Wolfgang Yves".split()),
+    ("cyrillic", "female"): tuple("Александра Алёна Алина Алла Анастасия Анна Валентина Вера Виктория Галина Дарья Евгения Екатерина Елена Зоя Инна Ирина Ксения Лариса Людмила Марина Мария Надежда Наталья Нина Оксана Ольга Полина Светлана София Тамара Татьяна Юлия".split()),
+    ("cyrillic", "male"): tuple("Александр Алексей Анатолий Андрей Антон Артём Борис Вадим Валерий Василий Виктор Владимир Георгий Григорий Денис Дмитрий Евгений Егор Иван Игорь Кирилл Константин Максим Михаил Николай Олег Павел Пётр Роман Семён Сергей Степан Фёдор Юрий".split()),
 }
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
+_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýœ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒ", "ёєіїґ", "ЁЄІЇҐ")
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -52,8 +56,11 @@ _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b
 _ACCESS_KEY = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b")
 _SECRET = re.compile(r"""\b(?:token|secret|password|passwd|api[_-]?key)\b["']?\s*[:=]\s*["']([^"'\s]{6,})["']""", re.I)
 _HEX = re.compile(r"[0-9a-f]{8,}")
-_NAME = re.compile(r"\b(?:" + "|".join(sorted({n for names in GIVEN_NAMES.values() for n in names}, key=len, reverse=True)) + r") [A-ZА-Я][a-zа-я]+\b")
-_HAS_NAME = re.compile("|".join(sorted({n for names in GIVEN_NAMES.values() for n in names})))
+_GIVEN = frozenset(n for names in GIVEN_NAMES.values() for n in names)
+_UPPER = "A-ZÀ-ÖØ-ÞŒĆČĐĞİŁŃŐŘŚŞŠŰŹŻŽА-ЯЁЄІЇҐ"
+#: A capitalised word, and ahead of it a family name: letters of any kind, hyphens, apostrophes.
+_NAME = re.compile(rf"\b([{_UPPER}][^\W\d_]+)(?= ([{_UPPER}](?:['’][{_UPPER}])?[^\W\d_]+(?:['’-](?!s\b)[^\W\d_]+)*))")
+_PART = re.compile(rf"\b[{_UPPER}](?:['’][{_UPPER}])?[^\W\d_]+(?:['’-](?!s\b)[^\W\d_]+)*")
 
 
 class Permutation:
@@ -117,8 +124,32 @@ def public_address(ip: str) -> bool:
     return plain and 0 < a < 224 and a not in (10, 127) and not (a == 172 and 16 <= b < 32) and (a, b) not in ((192, 168), (169, 254))
 
 
+def canonical(kind: str, value: str) -> str:
+    """What all ways to write an entity have in common."""
+    if kind == "email":
+        return value.lower()
+    if kind in ("card", "phone", "iban"):
+        return "+" * value.startswith("+") + "".join(c for c in value if c.isalnum())
+    return value
+
+
+def rendered(kind: str, value: str, mention: str) -> str:
+    """A canonical surrogate, written as the mention is."""
+    if kind == "email":
+        return "".join(c.upper() if m.isupper() else c for c, m in zip(value, mention, strict=True))
+    if kind in ("card", "phone", "iban"):
+        signs = iter(value.removeprefix("+"))
+        return "".join(next(signs) if c.isalnum() else c for c in mention)
+    return value
+
+
 def surrogate(kind: str, value: str, key: bytes) -> str:
-    """The replacement of one entity: a bijection of the values of its kind and format."""
+    """The replacement of one mention: that of its canonical form, written alike."""
+    return rendered(kind, _surrogate(kind, canonical(kind, value), key), value)
+
+
+def _surrogate(kind: str, value: str, key: bytes) -> str:
+    """The replacement of a canonical entity: a bijection of the values of its kind and format."""
     if kind == "ip":
         if not public_address(value):
             return value  # tells of nobody
@@ -162,8 +193,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     if "=" in text or ":" in text:
         found += [(m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text)]
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
-    if _HAS_NAME.search(text):
-        found += [(m.start(), m.end(), "name") for m in _NAME.finditer(text)]
+    found += [(m.start(), m.end(2), "name") for m in _NAME.finditer(text) if m[1] in _GIVEN]
     out, end = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
@@ -173,13 +203,25 @@ def entities(text: str) -> list[tuple[int, int, str]]:
 
 
 def rewritten(text: str, replace: Callable[[str, str], str]) -> tuple[str, list[str]]:
-    """(text with replaced entities, their kinds)."""
-    parts, kinds, at = [], [], 0
+    """(text with replaced entities, their kinds); a part of a name counts where it follows the name."""
+    parts, kinds, at, known = [], [], 0, {}
+
+    def part(m):
+        if m[0] not in known:
+            return m[0]
+        kinds.append("name")
+        return known[m[0]]
+
+    def between(piece):
+        return _PART.sub(part, piece) if known else piece
+
     for start, end, kind in entities(text):
-        parts += [text[at:start], replace(kind, text[start:end])]
+        parts += [between(text[at:start]), new := replace(kind, text[start:end])]
         kinds.append(kind)
+        if kind == "name":
+            known.update(zip(text[start:end].split(" ", 1), new.split(" ", 1), strict=True))
         at = end
-    return "".join([*parts, text[at:]]) if kinds else text, kinds
+    return "".join([*parts, between(text[at:])]) if kinds else text, kinds
 
 
 def _exceptions(rows: DataFrame, key: bytes, most_rounds: int) -> DataFrame:
@@ -189,7 +231,7 @@ def _exceptions(rows: DataFrame, key: bytes, most_rounds: int) -> DataFrame:
         step = lru_cache(maxsize=50_000)(lambda k, v: surrogate(k, v, key))
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
-                seen = {(kind, t[a:b]) for t in part.column(1).to_pylist() if t for a, b, kind in entities(t)}
+                seen = {(kind, canonical(kind, t[a:b])) for t in part.column(1).to_pylist() if t for a, b, kind in entities(t)}
                 seen = [(k, v, step(k, v)) for k, v in sorted(seen)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in seen], pa.string()) for c in range(3)], names=["kind", "value", "surrogate"])
 
@@ -235,7 +277,7 @@ def replace_entities(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col
                 out = []
                 for text, rules in zip(part.column(1).to_pylist(), special, strict=True):
                     given = {(r["kind"], r["value"]): r["surrogate"] for r in rules or ()}
-                    out.append((None, []) if text is None else rewritten(text, lambda k, v, given=given: given.get((k, v)) or step(k, v)))
+                    out.append((None, []) if text is None else rewritten(text, lambda k, v, given=given: rendered(k, given.get((k, canonical(k, v))) or step(k, canonical(k, v)), v)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(k) for _, k in out], pa.int64()), pa.array([sorted(set(k)) for _, k in out], pa.list_(pa.string())), pa.array([t for t, _ in out], pa.string())],
                     names=[id_col, "n_entities", "kinds", "text"],
@@ -247,7 +289,7 @@ def replace_entities(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col
     def occurrences(batches):
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
-                at = [(t, kind, v) for t in part.column(1).to_pylist() if t for kind, v in {(k, t[a:b]) for a, b, k in entities(t)}]
+                at = [(t, kind, v) for t in part.column(1).to_pylist() if t for kind, v in {(k, canonical(k, t[a:b])) for a, b, k in entities(t)}]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t, _, _ in at], pa.string()), pa.array([k for _, k, _ in at], pa.string()), pa.array([v for _, _, v in at], pa.string())], names=["_print", "kind", "value"])
 
     rules = arrow_map(rows, occurrences, "_print string, kind string, value string").distinct().join(exceptions, ["kind", "value"])
