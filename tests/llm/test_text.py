@@ -250,3 +250,10 @@ def test_mentions_of_an_entity_agree(spark):
         assert (digits(a) == digits(b) and digits(a)) if i < 3 else a.lower() == b and a[0].isupper()
     given, family = got[4].text.split(" came.")[0].split()
     assert got[4].text == f"{given} {family} came. {given} and {family}'s son left Mariana." and family != "Petrova"
+
+
+def test_levels_of_a_chain_have_no_bound(spark, monkeypatch):
+    monkeypatch.setattr(chat, "range", lambda n: [0, 1], raising=False)  # as if a bound on rounds were two
+    calls = [(1, str(i), [str(i - 1)] if i else [], True) for i in range(5)] + [(1, "x", ["y"], True), (1, "y", ["x"], True)]
+    got = chat.levels(spark.createDataFrame(calls, "conv_id long, id string, depends_on array<string>, first boolean")).collect()
+    assert {r.id: r.level for r in got} == {**{str(i): i for i in range(5)}, "x": -1, "y": -1}

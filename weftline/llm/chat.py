@@ -84,14 +84,14 @@ def tool_results(messages: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "content")).alias("r")).select("conv_id", "id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"))
 
 
-def levels(calls: DataFrame, most: int = 10_000) -> DataFrame:
+def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, id, level) of the calls that count; a call in or behind a cycle, or behind an unknown id, has level -1."""
     nodes = written(calls.filter("first").select("conv_id", "id", F.array_distinct(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("needs")), "calls")
     edges = written(nodes.select("conv_id", "id", F.explode("needs").alias("need")), "needs")
     done = nodes.filter("size(needs) = 0").select("conv_id", "id", F.lit(0).alias("level"))
     waiting = edges
     total = 0
-    for _ in range(most):
+    while True:  # a round that adds no call is the last
         done = written(done, "levels")
         n = done.count()
         if n == total:
