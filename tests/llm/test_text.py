@@ -257,3 +257,14 @@ def test_levels_of_a_chain_have_no_bound(spark, monkeypatch):
     calls = [(1, str(i), [str(i - 1)] if i else [], True) for i in range(5)] + [(1, "x", ["y"], True), (1, "y", ["x"], True)]
     got = chat.levels(spark.createDataFrame(calls, "conv_id long, id string, depends_on array<string>, first boolean")).collect()
     assert {r.id: r.level for r in got} == {**{str(i): i for i in range(5)}, "x": -1, "y": -1}
+
+
+def test_short_items_are_found_at_the_end_of_a_text_and_as_all_of_it():
+    rng = random.Random(12)
+    for n in range(5, 15):
+        words = [f"s{n}x{k}" for k in range(n)]
+        index = ItemIndex([(n, hashed(" ".join(words))[0])])
+        for gone in range(n):
+            part = words[:gone] + words[gone + 1 :]
+            for before in ([], [f"b{rng.random()}" for _ in range(20)]):
+                assert [m[1] for m in index.matches(*hashed(" ".join(before + part)))] == [n]
