@@ -148,8 +148,8 @@ def pack_documents(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=SCHEMA)
 
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
-                for doc_id, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist()), strict=True):
+            for part in slices(batch, 1, 1 << 22):
+                for doc_id, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1)), strict=True):
                     packer.add(doc_id, np.frombuffer(ids + tail, "<u4"))
                 if packer.rows:
                     yield drain()

@@ -14,6 +14,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             made = Path(made).as_uri()
         else:
             made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.weftline"
+            if made.startswith(("file:", "/")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(made)
     return made
 
@@ -106,5 +109,19 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.Re
         at = to
 
 
+def partitions_for(df: DataFrame, each_bytes: int) -> int:
+    """How many partitions of about ``each_bytes`` hold what ``df`` reads; at least the session's.
+
+    The files' sizes are what the planner knows of them; sources without a known size are read once.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    total = sum(sizes)
+    if any(s >= 1 << 60 for s in sizes):  # the planner's "unknown"
+        strings = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+        total = df.agg(F.coalesce(F.sum(sum(strings, F.lit(16).cast("long"))), F.lit(0))).first()[0]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, -(-total // each_bytes))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

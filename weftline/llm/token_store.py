@@ -29,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import arrow_map, slices
+from weftline.llm.shared import arrow_map, partitions_for, slices
 from weftline.llm.tokens import tokenizer
 
 MAGIC = b"WLPLANE1"
 BLOCK = 65_536
+#: Bytes of input that a shard holds about, so that a task's work and its document table stay bounded.
+SHARD_BYTES = 64 << 20
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("shard", pa.int64())])
 
 
@@ -150,7 +152,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, *, id_col: str = "do
     Returns the entries of ``index.json``, one per shard: file, shard, docs, ids, docs_before, ids_before.
     """
     spark = df.sparkSession
-    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = shards or partitions_for(df, SHARD_BYTES)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
@@ -165,8 +167,8 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, *, id_col: str = "do
         with fs.open_output_stream(part) as out:
             writer = ShardWriter(out, planes, block)
             for batch in batches:
-                for rows in slices(batch, 1, 1 << 20):
-                    for doc_id, ids in zip(rows.column(0).to_pylist(), tok.encode(rows.column(1).to_pylist()), strict=True):
+                for rows in slices(batch, 1, 1 << 22):
+                    for doc_id, ids in zip(rows.column(0).to_pylist(), tok.encode(rows.column(1)), strict=True):
                         writer.add(doc_id, np.frombuffer(ids + tail, "<u4"))
             writer.close()
         if writer.doc_ids:

@@ -2,7 +2,7 @@
 
 The pre-tokenizer never joins a non-space character with a space or newline that follows it,
 so a text may be cut there and its pieces encoded apart. Invented and natural prose repeats
-most pieces, which then cost one dictionary lookup. Texts with other white space, or with an
+most pieces, which then cost one lookup a batch. Texts with other white space, or with an
 added token's string, go to the library whole; so the ids always equal the library's own.
 """
 
@@ -13,6 +13,8 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space other than space and newline, as any Unicode version or library may define it.
 _ODD_SPACE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]")
@@ -79,30 +81,49 @@ class WordCachedTokenizer:
         except TypeError:
             return None
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian uint32 bytes; null has none."""
-        out: list[bytes | None] = [b""] * len(texts)
+    def encode(self, texts: Sequence[str | None] | pa.Array) -> list[bytes]:
+        """For each text its ids as little-endian uint32 bytes; null has none.
+
+        The distinct pieces of all the texts are looked up once each, then their ids are gathered
+        for all places at a time.
+        """
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.cuts:
-            return self._whole([t or "" for t in texts])
-        cache, keyed, missing = self.cache, [], []
+            return self._whole(["" if t is None else t for t in column.to_pylist()])
+        if not len(column):
+            return []
+        cache = self.cache
         if len(cache) > self.limit:
             cache.clear()
-        get = cache.get
-        for t in texts:
-            keys = (t or "").replace("\n", " \n").split(" ")
-            keys[0] = "\udc00" + keys[0]
-            found = list(map(get, keys))
-            keyed.append((keys, found))
-            missing += [k for k, ids in zip(keys, found) if ids is None]
-        self._learn([k for k in dict.fromkeys(missing) if k not in cache])
-        for i, (keys, found) in enumerate(keyed):
-            if texts[i]:
-                try:
-                    out[i] = b"".join([cache[k] if ids is None else ids for k, ids in zip(keys, found)])
-                except TypeError:
-                    out[i] = self._cut(texts[i])
-                    if out[i] is None:
-                        out[i] = self._whole([texts[i]])[0]
+        pieces = pc.split_pattern(pc.replace_substring(column.fill_null(""), "\n", " \n"), " ")
+        ends = pieces.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        coded = pieces.flatten().dictionary_encode()
+        codes, keys = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # the first piece of a text has no space before it
+        firsts, which = np.unique(codes[ends[:-1]], return_inverse=True)
+        codes[ends[:-1]] = len(keys) + which
+        keys += ["\udc00" + keys[k] for k in firsts.tolist()]
+        found = list(map(cache.get, keys))
+        missing = [k for k, ids in zip(keys, found, strict=True) if ids is None and k not in cache]
+        if missing:
+            self._learn(missing)
+            found = list(map(cache.get, keys))
+        uncut = np.array([ids is None for ids in found])
+        found = [b"" if ids is None else ids for ids in found]
+        table, lengths = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(lengths) - lengths
+        n = lengths[codes]
+        to = np.cumsum(n)
+        raw = table[np.repeat(begins[codes] - to + n, n) + np.arange(to[-1])].tobytes()
+        bounds = np.concatenate(([0], to * 4))[ends].tolist()
+        out = [raw[x:y] for x, y in zip(bounds, bounds[1:])]
+        if uncut.any():
+            empty = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False) == 0
+            for i in np.flatnonzero(np.logical_or.reduceat(uncut[codes], ends[:-1]) & ~empty).tolist():
+                text = column[i].as_py()
+                ids = self._cut(text)
+                out[i] = self._whole([text])[0] if ids is None else ids
         return out
 
 
