@@ -115,7 +115,7 @@ def partitions_for(df: DataFrame, each_bytes: int) -> int:
     The files' sizes are what the planner knows of them; sources without a known size are read once.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     total = sum(sizes)
     if any(s >= 1 << 60 for s in sizes):  # the planner's "unknown"
         strings = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
