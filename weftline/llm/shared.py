@@ -63,10 +63,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop_written(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for df in tables:
-        files = df.inputFiles()
-        if files:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
@@ -92,6 +90,62 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def by_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+    """``fn`` of each group of rows with equal, non-null ``keys``, which must be bounded; None stands for no rows.
+
+    Rows are sorted in their partition and handed on as they come, so that many small groups cost
+    little each: a task holds one batch and the group that it cuts.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    parsed = _parse_datatype_string(schema)
+    target = to_arrow_schema(parsed if isinstance(parsed, StructType) else StructType.fromDDL(schema))
+
+    def of_groups(table: pa.Table):
+        done = [fn(table.slice(x, y - x)) for x, y in _runs_of(table, keys)]
+        done = [d for d in done if d is not None and d.num_rows]
+        if done:
+            yield from pa.concat_tables(done).cast(target).combine_chunks().to_batches()
+
+    def stream(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            last = _runs_of(table, keys)[-1][0]
+            if last:
+                yield from of_groups(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None:
+            yield from of_groups(held)
+
+    return arrow_map(df.repartition(*keys).sortWithinPartitions(*keys), stream, schema)
+
+
+def _runs_of(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
+    """Where runs of rows with equal keys begin and end."""
+    import numpy as np
+
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        codes = table.column(k).combine_chunks().dictionary_encode().indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    at = np.flatnonzero(new).tolist()
+    return list(zip(at, [*at[1:], table.num_rows], strict=True))
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` has not."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose strings hold about ``max_bytes`` together; a longer row stands alone."""
     import numpy as np
