@@ -268,3 +268,33 @@ def test_short_items_are_found_at_the_end_of_a_text_and_as_all_of_it():
             part = words[:gone] + words[gone + 1 :]
             for before in ([], [f"b{rng.random()}" for _ in range(20)]):
                 assert [m[1] for m in index.matches(*hashed(" ".join(before + part)))] == [n]
+
+
+def chatted(spark, rows):
+    df = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.tool_schemas(spark, registry.TOOLS))
+    return df.collect()
+
+
+def test_repeated_messages_keep_their_own_calls(spark):
+    say = lambda *calls: json.dumps({"tool_calls": list(calls)})
+    one = say({"id": "a", "name": "run", "arguments": {"code": "1"}})
+    two = say({"id": "b", "name": "run", "arguments": {"code": "2"}}, {"id": "c", "name": "run", "arguments": {"code": "3"}})
+    got = chatted(spark, [(1, 1, "assistant", one)] * 3 + [(2, 1, "assistant", one), (2, 1, "assistant", two), (1, 2, "tool", '{"tool_call_id": "a", "content": 1}')])
+    assert sorted((r.conv_id, r.calls, r.linked) for r in got) == [(1, 0, 0), (1, 1, 0), (1, 1, 0), (1, 1, 1), (2, 1, 0), (2, 2, 0)]
+    null = chatted(spark, [(None, 1, "assistant", say({"id": "a", "name": "run", "arguments": {"code": "1", "zz": 1}}))])
+    assert json.loads(null[0].json)["calls"][0]["errors"] == ["unknown argument zz", "no conversation"]
+
+
+def test_levels_of_deep_chains_and_of_several_dependencies(spark):
+    rng = random.Random(7)
+    needs = {str(i): [str(i - 1)] if i else [] for i in range(200)}
+    for i in range(200, 260):
+        needs[str(i)] = [str(k) for k in rng.sample(range(i), rng.choice([0, 1, 1, 2, 3]))]
+    needs |= {"p": ["q"], "q": ["r", "5"], "r": ["p"], "behind": ["p", "3"], "lost": ["nowhere"], "lost2": ["nowhere", "1"], "lost3": ["lost"]}
+    want: dict[str, int] = {}
+    for k in (str(i) for i in range(260)):
+        want[k] = 1 + max((want[x] for x in needs[k]), default=-1)
+    calls = [(1, k, v, True) for k, v in needs.items()]
+    got = chat.levels(spark.createDataFrame(calls, "conv_id long, id string, depends_on array<string>, first boolean")).collect()
+    assert {r.id: r.level for r in got} == want | dict.fromkeys(["p", "q", "r", "behind", "lost", "lost2", "lost3"], -1)
+    assert len(got) == len(needs)

@@ -32,7 +32,8 @@ TOOLS = {
 
 
 def op5_tool_call_linking(spark, sf_dir):
-    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"), chat.tool_schemas(spark, TOOLS))
+    """The table holds no tool calls, so its turns are put as calls and results first."""
+    return chat.format_chats(chat.as_tool_use(spark.read.parquet(f"{sf_dir}/conversations.parquet")), chat.tool_schemas(spark, TOOLS))
 
 
 def op6_surrogate_generation(spark, sf_dir):
