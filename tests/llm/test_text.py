@@ -298,3 +298,22 @@ def test_levels_of_deep_chains_and_of_several_dependencies(spark):
     got = chat.levels(spark.createDataFrame(calls, "conv_id long, id string, depends_on array<string>, first boolean")).collect()
     assert {r.id: r.level for r in got} == want | dict.fromkeys(["p", "q", "r", "behind", "lost", "lost2", "lost3"], -1)
     assert len(got) == len(needs)
+
+
+def test_counterfactual_differences_equal_brute_force():
+    rng = random.Random(3)
+    pool = ["muslim", "christian", "trash", "transit", "homme", "idiot", "musician", "black", "white", "blanket", "wohnt"]
+    for _ in range(200):
+        words = {w.encode() for w in rng.sample(pool, rng.randint(0, 6))}
+        gone, new = set(rng.sample(sorted(words), min(len(words), 2))), {w.encode() for w in rng.sample(pool, 2)} - words
+        before, after = toxicity.text_features(words), toxicity.text_features((words - gone) | new)
+        assert toxicity.changed(toxicity.counts_of(words), gone, new) == {**dict.fromkeys(after - before, 1), **dict.fromkeys(before - after, -1)}
+
+
+def test_the_penalty_acts_on_the_tables(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    plain, fair = (toxicity.train(docs, labels, counterfactual=c) for c in (0.0, 1.0))
+    texts = [r.text or "" for r in docs.join(labels, "doc_id").collect()]
+    gaps = [sum(toxicity.gap(m, t) for t in texts) / len(texts) for m in (plain, fair)]
+    assert fair.pairs >= 8 * 250 and gaps[0] > 0.02 and gaps[1] < 0.1 * gaps[0]

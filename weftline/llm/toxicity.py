@@ -4,9 +4,12 @@ Features are the distinct words of a text, lower-cased, with their beginnings an
 to six letters, so that inflected forms of a learned stem count as well, and those that two or
 three distinct words of the text have once more. Features that labelled
 toxic texts hold significantly more often are chosen by counts over the training sample, then a
-logistic regression is fitted to them. For each training text that names an identity group,
-copies with the group's term swapped for others of its kind are made; the loss penalises the
-squared difference of their logits, so a neutral mention of a group does not move the score.
+logistic regression is fitted to them. Every training text has counterfactual copies: where it
+names an identity group, with the term swapped for each other of its kind; and in any case with
+terms put in, two of a kind for each of ``insertions`` kinds that the text's hash picks. The loss
+penalises the squared difference of the copies' logits, and of text and copy, so which group is
+named, or that one is, does not move the score. What a copy changes are few features, so pairs
+are kept as those.
 
 The training sample is bounded: at most ``max_train`` labelled texts, half of them toxic at
 most, in the order of a hash of their ids. The counts, the fit's rows and the model are bounded
@@ -24,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.shared import arrow_map, slices
 
-#: Terms of identity groups by kind; a term may be swapped for any other of its kind.
+#: Terms of identity groups by kind, in English, French, German and Spanish; a term may be swapped for any other of its kind.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "atheist"),
     ("black", "white", "asian", "latino", "african", "european"),
@@ -42,6 +46,27 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("female", "male"),
     ("immigrant", "native", "refugee"),
     ("disabled", "blind", "deaf"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("noir", "blanc", "asiatique", "arabe", "africain"),
+    ("lesbienne", "homosexuel", "bisexuel", "hétérosexuel"),
+    ("femme", "homme"),
+    ("femmes", "hommes"),
+    ("immigré", "réfugié", "étranger"),
+    ("handicapé", "aveugle", "sourd"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("frau", "mann"),
+    ("frauen", "männer"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("behindert", "taub"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("negro", "blanco", "asiático", "africano", "europeo"),
+    ("lesbiana", "gais", "heterosexuales"),
+    ("mujer", "hombre"),
+    ("mujeres", "hombres"),
+    ("inmigrante", "refugiado", "extranjero"),
+    ("discapacitado", "ciego", "sordo"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
 #: ASCII other than letters becomes a space.
@@ -69,25 +94,51 @@ def with_counts(counts: Counter[str]) -> set[str]:
     return {*counts, *("2" + f for f, n in counts.items() if n >= 2), *("3" + f for f, n in counts.items() if n >= 3)}
 
 
+def counts_of(words: Iterable[bytes]) -> Counter[str]:
+    return Counter(f for w in plain_words(words) for f in word_features(w))
+
+
 def text_features(words: set[bytes]) -> set[str]:
-    return with_counts(Counter(f for w in plain_words(words) for f in word_features(w)))
+    return with_counts(counts_of(words))
+
+
+def changed(counts: Counter[str], gone: Iterable[bytes], new: Iterable[bytes]) -> dict[str, int]:
+    """What taking words from a text and putting others in does to its features: 1 for each it gets, -1 for each it loses."""
+    moves = counts_of(new)
+    moves.subtract(counts_of(gone))
+    out = {}
+    for f, move in moves.items():
+        n = counts[f]
+        for k in range(min(n, n + move) + 1, max(n, n + move) + 1):
+            if k <= 3:
+                out[("", "2", "3")[k - 1] + f] = 1 if move > 0 else -1
+    return out
 
 
-def swaps(words: set[bytes], terms: tuple[tuple[str, ...], ...]) -> list[set[bytes]]:
-    """The word set with every term of a kind replaced, once for each other term of that kind."""
-    out = []
-    for kind in terms:
-        encoded = [t.encode() for t in kind]
-        if present := words.intersection(encoded):
-            out += [(words - present) | {t} for t in encoded if present != {t}]
+def minus(a: dict[str, int], b: dict[str, int]) -> dict[str, int]:
+    return {f: x for f in {**a, **b} if (x := a.get(f, 0) - b.get(f, 0))}
+
+
+def counterfactuals(words: set[bytes], counts: Counter[str], terms: tuple[tuple[str, ...], ...], insertions: int) -> list[dict[str, int]]:
+    """How features differ between the text and each of its copies, and between copies with different terms."""
+    out, kinds = [], [[t.encode() for t in kind] for kind in terms]
+    for kind in kinds:
+        if present := words.intersection(kind):
+            out += [changed(counts, present, [t]) if t not in present else changed(counts, present - {t}, []) for t in kind if present != {t}]
+    seed = crc32(b" ".join(sorted(words)))
+    for k in range(min(insertions, len(kinds))):
+        kind = kinds[(seed + k * 7) % len(kinds)]
+        a, b = (seed // 31) % len(kind), (seed // 31 + 1) % len(kind)
+        with_a, with_b = (changed(counts, [], {kind[x]} - words) for x in (a, b))
+        out += [with_a, minus(with_a, with_b)]
     return out
 
 
 class Model:
-    """Scores texts; ``weights`` maps features to weights."""
+    """Scores texts; ``weights`` maps features to weights, ``pairs`` is the number of counterfactual pairs it was fitted with."""
 
-    def __init__(self, base: float, weights: dict[str, float], remember: int = 200_000):
-        self.base, self.weights, self.remember = base, weights, remember
+    def __init__(self, base: float, weights: dict[str, float], pairs: int = 0, remember: int = 200_000):
+        self.base, self.weights, self.pairs, self.remember = base, weights, pairs, remember
         self.known = {f.lstrip("23") for f in weights}
         self._forget()
 
@@ -113,33 +164,35 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -40, 40))))
 
 
-def fit_logistic(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[int, list[int]]], n_features: int, *, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 600, rate: float = 0.1) -> tuple[float, np.ndarray]:
-    """Weights of a logistic regression on presence features, by Adam.
+def gap(model: Model, text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, insertions: int = 4) -> float:
+    """The largest difference of logits between a text's counterfactual copies, or it and a copy."""
+    words = rough_words(text)
+    return max((abs(sum(model.weights.get(f, 0.0) * x for f, x in c.items())) for c in counterfactuals(words, counts_of(words), terms, insertions)), default=0.0)
 
-    ``pairs`` are (row, features of its counterfactual copy). The loss is the mean log loss
-    + l2 * |w|^2 / 2 + counterfactual * the mean of (logit(row) - logit(copy))^2 over pairs.
-    """
 
-    def flat(lists):
-        at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        return at, np.fromiter((j for x in lists for j in x), np.int64, len(at))
+def fit_logistic(rows: list[list[int]], y: np.ndarray, pairs: list[list[tuple[int, int]]], n_features: int, *, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 600, rate: float = 0.1) -> tuple[float, np.ndarray]:
+    """Weights of a logistic regression on presence features, by Adam.
 
+    ``pairs`` are the (feature, 1 or -1) in which the two texts of a counterfactual pair differ.
+    The loss is the mean log loss + l2 * |w|^2 / 2 + counterfactual * the sum over pairs of their
+    squared difference of logits, over the number of pairs that differ.
+    """
     n = len(rows)
-    at, col = flat(rows)
-    c_row = np.array([r for r, _ in pairs], np.int64)
-    c_at, c_col = flat([x for _, x in pairs])
+    at = np.repeat(np.arange(n), [len(x) for x in rows])
+    col = np.fromiter((j for x in rows for j in x), np.int64, len(at))
+    p_at = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])
+    p_col = np.fromiter((j for x in pairs for j, _ in x), np.int64, len(p_at))
+    p_sign = np.fromiter((s for x in pairs for _, s in x), float, len(p_at))
     w, b = np.zeros(n_features), 0.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, steps + 1):
         logit = b + np.bincount(at, w[col], n)
         g_logit = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / n
-        g_w = l2 * w
-        if pairs:
-            gap = logit[c_row] - b - np.bincount(c_at, w[c_col], len(pairs))
-            g_gap = 2 * counterfactual * gap / len(pairs)
-            g_w -= np.bincount(c_col, g_gap[c_at], n_features)
-            g_w += np.bincount(col, np.bincount(c_row, g_gap, n)[at], n_features)
-        g = np.append(g_w + np.bincount(col, g_logit[at], n_features), g_logit.sum())
+        g_w = l2 * w + np.bincount(col, g_logit[at], n_features)
+        if len(p_at):
+            between = np.bincount(p_at, p_sign * w[p_col], len(pairs))
+            g_w += np.bincount(p_col, 2 * counterfactual / len(pairs) * between[p_at] * p_sign, n_features)
+        g = np.append(g_w, g_logit.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -152,7 +205,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_train: Callable[[Column], Column] = lambda i: ~held_out(i),
-    max_train: int = 10_000, max_features: int = 4_000, min_z: float = 4.5, min_lift: float = 2.5, terms=IDENTITY_TERMS, counterfactual: float = 1.0, l2: float = 1e-4,
+    max_train: int = 10_000, max_features: int = 4_000, min_z: float = 4.5, min_lift: float = 2.5, terms=IDENTITY_TERMS, insertions: int = 4, counterfactual: float = 1.0, l2: float = 1e-4,
 ) -> Model:
     """Fit on labelled texts for which ``may_train(id)`` holds."""
     given = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isNotNull() & F.col("_id").isNotNull() & may_train(F.col("_id")))
@@ -166,14 +219,14 @@ def train(
     # at most max_train ids are broadcast
     sample = texts.join(F.broadcast(chosen), "_id").repartition(8, "_id").select("_y", "_text").persist()
     try:
-        model = _fit(sample, max_features, min_z, min_lift, terms, counterfactual, l2)
+        model = _fit(sample, max_features, min_z, min_lift, terms, insertions, counterfactual, l2)
         model.base += float(np.log(rates[1] / rates[0])) if all(rates) else 0.0
         return model
     finally:
         sample.unpersist()
 
 
-def _fit(sample, max_features, min_z, min_lift, terms, counterfactual, l2) -> Model:
+def _fit(sample, max_features, min_z, min_lift, terms, insertions, counterfactual, l2) -> Model:
     totals = {r["_y"] >= 1: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = totals.get(True, 0), totals.get(False, 0)
     if not n_pos or not n_neg:
@@ -196,20 +249,23 @@ def _fit(sample, max_features, min_z, min_lift, terms, counterfactual, l2) -> Mo
     index = {f: k for k, f in enumerate(names)}
 
     def vectors(batches):
-        def of(words):
-            return sorted(index[f] for f in text_features(words) if f in index)
-
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
-                words = [rough_words(t or "") for t in part.column(1).to_pylist()]
-                own, copies = [of(w) for w in words], [[of(s) for s in swaps(w, terms)] for w in words]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(copies, pa.list_(pa.list_(pa.int32())))], names=["y", "x", "c"])
-
-    got = sorted((r["y"], r["x"], r["c"]) for r in arrow_map(sample, vectors, "y int, x array<int>, c array<array<int>>").collect())
+                own, pairs = [], []
+                for text in part.column(1).to_pylist():
+                    words = rough_words(text or "")
+                    counts = counts_of(words)
+                    own.append(sorted(index[f] for f in with_counts(counts) if f in index))
+                    pairs.append([[{"f": index[f], "s": x} for f, x in sorted(c.items()) if f in index] for c in counterfactuals(words, counts, terms, insertions)])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.list_(pa.struct([("f", pa.int32()), ("s", pa.int32())]))))], names=["y", "x", "c"])
+
+    got = sorted((r["y"], r["x"], [[(d["f"], d["s"]) for d in c] for c in r["c"]]) for r in arrow_map(sample, vectors, "y int, x array<int>, c array<array<struct<f: int, s: int>>>").collect())
     y = np.array([r[0] >= 1 for r in got], float)
-    pairs = [(i, c) for i, r in enumerate(got) for c in r[2]]
-    base, w = fit_logistic([r[1] for r in got], y, pairs, len(names), l2=l2, counterfactual=counterfactual)
-    return Model(float(base), {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6})
+    # pairs whose texts differ in no feature of the model have no gap
+    pairs = [c for r in got for c in r[2]]
+    differ = [c for c in pairs if c]
+    base, w = fit_logistic([r[1] for r in got], y, differ, len(names), l2=l2, counterfactual=counterfactual)
+    return Model(float(base), {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6}, len(pairs))
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
