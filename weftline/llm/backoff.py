@@ -6,17 +6,21 @@ counts, a word after its context scores c'(context, word) / c'(context) if that
 else ``alpha`` times its score after the context without its first word; a word alone scores
 c'(word) / (words of the other texts), or 1 / (those + 1) if no other text has it.
 
-The relation of n-grams is kept packed. A task reads a part of the texts and sends its distinct
-n-gram hashes, sorted, with their counts, to the partitions of the hash range. There the counts
-of equal hashes are added up, and each part is sent the totals of its own hashes, in their
-order, which are stored per part in the shared folder. The second pass over a part joins them
-with the part's n-grams and sums per text. So what moves are a few bytes per distinct n-gram of
-a part; a frequent n-gram is one entry a part; all counts are of all texts.
-
-``df`` must give the same partitions when it is read again, as files do; a part whose n-grams
-differ at the second reading raises an error. Defined cases: null, empty and wordless texts
-score 0 over 0 words; null and repeated ids are texts of their own; an empty table gives an
-empty result; other columns are ignored.
+The relation of n-grams is kept packed: a row holds a run's distinct n-gram hashes of one order
+and hash range, sorted, with their counts. A run is about ``RUN`` words of a part of the texts.
+The rows are shuffled to their hash range, where the counts of equal hashes are added up and
+joined back to every run's own hashes: counting and joining meet the same rows at the same place,
+so the exploded n-grams move once. Each run's totals go back to it in its order, in a file of its
+own in the shared folder, and the second pass over the texts sums per text. So a few bytes per
+distinct n-gram of a run move; a frequent n-gram is one entry a run; all counts are of all texts.
+There are as many hash ranges as keep one's entries at about ``RANGE_BYTES``, so a task does not
+grow with the corpus.
+
+The result is stored, so that the side files can be deleted before it is read. ``df`` must give
+the same partitions when it is read again, as files do; a run whose n-grams differ at the second
+reading raises an error. Defined cases: null, empty and wordless texts score 0 over 0 words;
+null and repeated ids are texts of their own; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import arrow_map, drop_written, fresh_uri, slices, written
+from weftline.llm.shared import arrow_map, drop_folder, drop_written, fresh_uri, partitions_for, slices, written
 from weftline.llm.words import mix, utf8, word_hashes
 
 _U = np.uint64
 #: Words of a part that are counted together; a part has one run of n-grams for each so many words.
 RUN = 1_500_000
+#: Packed n-grams of one order that meet in one range, about; an n-gram of each order takes ``ENTRY_BYTES`` or less of six bytes of text.
+RANGE_BYTES, ENTRY_BYTES, WORD_BYTES = 64 << 20, 8, 6
 
 
 def _packed(x: np.ndarray, width: int) -> bytes:
@@ -88,9 +94,9 @@ def _bounds(ranges: int) -> np.ndarray:
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order: int = 3, alpha: float = 0.4, ranges: int | None = None) -> DataFrame:
-    """A row per row of ``df``: ``id_col``, n_words, log10_score (the sum over words), mean_log10."""
+    """A row per row of ``df``: ``id_col``, n_words, mean_log10, log10_score (the sum over words)."""
     spark = df.sparkSession
-    ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or partitions_for(df.select(text_col), RANGE_BYTES * WORD_BYTES // ENTRY_BYTES)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def count(batches):
@@ -134,36 +140,38 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     folder = fresh_uri(spark, "part-counts")
 
     def store(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
+        part, run = (table.column(c)[0].as_py() for c in ("part", "run"))
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
         out = io.BytesIO()
-        ordered = table.sort_by([("run", "ascending"), ("n", "ascending"), ("range", "ascending")]).select(["run", "n", "totals"])
+        ordered = table.sort_by([("n", "ascending"), ("range", "ascending")]).select(["n", "totals"])
         with pa.ipc.new_file(out, ordered.schema) as writer:
             writer.write_table(ordered)
-        name = f"{path}/.{part}.{uuid.uuid4().hex}"
+        name = f"{path}/.{part}.{run}.{uuid.uuid4().hex}"
         with fs.open_output_stream(name) as f:
             f.write(out.getvalue())
-        fs.move(name, f"{path}/{part}.arrow")
+        fs.move(name, f"{path}/{part}.{run}.arrow")
         return pa.table({"part": pa.array([part], pa.int32())})
 
-    counted.groupBy("part").applyInArrow(store, "part int").count()
+    counted.groupBy("part", "run").applyInArrow(store, "part int").count()
     drop_written(counted)
     kind = df.schema[id_col].dataType.simpleString()
 
     def score(batches):
-        part, fs_path, source = TaskContext.get().partitionId(), pyarrow.fs.FileSystem.from_uri(folder), None
+        part, (fs, path) = TaskContext.get().partitionId(), pyarrow.fs.FileSystem.from_uri(folder)
         for run, (ids, ends, grams) in enumerate(_runs(batches, order)):
             text = np.repeat(np.arange(len(ids)), np.diff(ends))
-            if len(text) and source is None:
-                source = pa.ipc.open_file(fs_path[0].open_input_file(f"{fs_path[1]}/{part}.arrow")).read_all()
+            source = None
+            if len(text):
+                with fs.open_input_file(f"{path}/{part}.{run}.arrow") as f:
+                    source = pa.ipc.open_file(f).read_all()
             others = []  # by n: counts of each word's n-gram in other texts, 0 where there is none
             for n, h in enumerate(grams, 1):
                 at = np.flatnonzero(h != 0)
                 known, where = np.unique(h[at], return_inverse=True)
                 total = np.empty(0, np.int64)
                 if len(at):
-                    mine = source.filter((pa.compute.field("run") == run) & (pa.compute.field("n") == n))
+                    mine = source.filter(pa.compute.field("n") == n)
                     total = np.concatenate([_unpacked(b, 8) for b in mine.column("totals").to_pylist()]).astype(np.int64)
                 if len(total) != len(known):
                     raise RuntimeError("the texts were dealt out differently at the second reading; write them to files first")
@@ -186,9 +194,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
                 value = np.where(has, np.where(c > 0, c / np.maximum(context, 1), alpha * value), value)
             sums = np.bincount(text, np.log10(value), len(ids)) if len(text) else np.zeros(len(ids))
             mean = np.divide(sums, n_words, out=np.zeros(len(ids)), where=n_words > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(n_words, pa.int64()), pa.array(sums), pa.array(mean)], names=[id_col, "n_words", "log10_score", "mean_log10"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(n_words, pa.int64()), pa.array(mean), pa.array(sums)], names=[id_col, "n_words", "mean_log10", "log10_score"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(df.schema[id_col].dataType)
-    return arrow_map(rows, score, f"`{id_col}` {kind}, n_words long, log10_score double, mean_log10 double")
+    out = written(arrow_map(rows, score, f"`{id_col}` {kind}, n_words long, mean_log10 double, log10_score double"), "scores")
+    drop_folder(spark, folder)
+    return out

@@ -60,12 +60,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared folder, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for df in tables:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            drop_folder(df.sparkSession, folder)
 
 
 def ship_package(spark: SparkSession) -> None:
