@@ -317,3 +317,18 @@ def test_the_penalty_acts_on_the_tables(spark):
     texts = [r.text or "" for r in docs.join(labels, "doc_id").collect()]
     gaps = [sum(toxicity.gap(m, t) for t in texts) / len(texts) for m in (plain, fair)]
     assert fair.pairs >= 8 * 250 and gaps[0] > 0.02 and gaps[1] < 0.1 * gaps[0]
+
+
+def test_a_full_format_gets_longer_surrogates(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, " ".join(f"{a}@{b}.org" for b in letters)) for k, a in enumerate(letters)]  # every value of the format
+    rows.append((99, "Ms Ng wrote, then Ng left; Mr. Bob Jones and Dr Priya Patel stayed."))
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), b"k", most_rounds=2).collect()}
+    mapping = {}
+    for k, t in rows[:26]:
+        mapping.update(zip(t.split(), got[k].split(), strict=True))
+    assert len(set(mapping.values())) == 676 and not set(mapping) & set(mapping.values())
+    assert all(re.fullmatch(r"[a-z]{2,}@[a-z]\.org", v) for v in mapping.values())
+    family = got[99].split()[1]
+    assert got[99].split()[4] == family != "Ng" and not re.search("Bob|Jones|Priya|Patel", got[99]) and got[99].startswith("Ms ")
+    assert surrogates.longer("ssn", "123-45-6789", b"k", 1) != surrogates.longer("ssn", "123-45-6780", b"k", 1)

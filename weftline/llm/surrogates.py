@@ -9,13 +9,17 @@ surrogates everywhere, and different ones different surrogates. Cards, phones an
 if their signs are, however spaced, addresses if they are but for case; a surrogate is written as
 the mention is. A given or family name that follows a full name in its text gets that name's part.
 
-Names are a given name of ``GIVEN_NAMES``, a blank and a capitalised word; other names are not seen.
+Names are a given name of ``GIVEN_NAMES``, a blank and a capitalised word, or one or two capitalised
+words after a title or a phrase that introduces a person; other names are not seen. A given name
+that is in no list is replaced by letters of its script.
 
 A surrogate could still be a value that somebody else in the corpus has. The entities of the
 whole corpus are therefore gathered as a distinct table; an entity whose surrogate is one of
 them gets another from a permutation with another key, and so on until its surrogate is neither
-an entity nor the surrogate of another: different values stay different. Texts are rewritten where they are; only texts with such an entity
-meet the (short) list of exceptions.
+an entity nor the surrogate of another: different values stay different. Where a format is so
+full that ``most_rounds`` keys gave none, mails and names get a longer one, one sign more in each
+further round, and other kinds a keyed mark such as ``[ssn 0f3a...]``. Texts are rewritten where
+they are; only texts with such an entity meet the (short) list of exceptions.
 
 Defined cases: null stays null, empty stays empty; a text without entities stays as it is; null
 and repeated ids are rewritten like others; an empty table gives an empty result.
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import arrow_map, slices, written
+from weftline.llm.shared import arrow_map, drop_written, slices, written
 
 #: Given names by script and gender; a name is replaced by another of its list.
 GIVEN_NAMES: dict[tuple[str, str], tuple[str, ...]] = {
@@ -60,6 +64,10 @@ _GIVEN = frozenset(n for names in GIVEN_NAMES.values() for n in names)
 _UPPER = "A-ZÀ-ÖØ-ÞŒĆČĐĞİŁŃŐŘŚŞŠŰŹŻŽА-ЯЁЄІЇҐ"
 #: A capitalised word, and ahead of it a family name: letters of any kind, hyphens, apostrophes.
 _NAME = re.compile(rf"\b([{_UPPER}][^\W\d_]+)(?= ([{_UPPER}](?:['’][{_UPPER}])?[^\W\d_]+(?:['’-](?!s\b)[^\W\d_]+)*))")
+_WORD = rf"[{_UPPER}](?:['’][{_UPPER}])?[^\W\d_]+(?:['’-](?!s\b)[^\W\d_]+)*"
+#: What comes before a person's name.
+_BEFORE = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "Señora", "Sra", "my name is", "My name is", "Contact", "contact", "Author:", "Name:", "Signed,", "Regards,")
+_INTRODUCED = re.compile(rf"\b(?:{'|'.join(_BEFORE)})\.? ({_WORD}(?: {_WORD})?)")
 _PART = re.compile(rf"\b[{_UPPER}](?:['’][{_UPPER}])?[^\W\d_]+(?:['’-](?!s\b)[^\W\d_]+)*")
 
 
@@ -135,14 +143,23 @@ def canonical(kind: str, value: str) -> str:
 
 def rendered(kind: str, value: str, mention: str) -> str:
     """A canonical surrogate, written as the mention is."""
-    if kind == "email":
+    if kind == "email" and len(value) == len(mention):
         return "".join(c.upper() if m.isupper() else c for c, m in zip(value, mention, strict=True))
-    if kind in ("card", "phone", "iban"):
+    if kind in ("card", "phone", "iban") and not value.startswith("["):
         signs = iter(value.removeprefix("+"))
         return "".join(next(signs) if c.isalnum() else c for c in mention)
     return value
 
 
+def longer(kind: str, value: str, key: bytes, more: int) -> str:
+    """A surrogate outside the entity's format, which is full: a name or mail ``more`` signs longer, else a mark."""
+    if kind == "email":
+        return _surrogate(kind, "a" * more + value, key)
+    if kind == "name":
+        return _surrogate(kind, value + "a" * more, key)
+    return f"[{kind} {hmac.new(key, f'{kind}|{value}'.encode(), hashlib.sha256).hexdigest()[:32]}]"
+
+
 def surrogate(kind: str, value: str, key: bytes) -> str:
     """The replacement of one mention: that of its canonical form, written alike."""
     return rendered(kind, _surrogate(kind, canonical(kind, value), key), value)
@@ -160,12 +177,14 @@ def _surrogate(kind: str, value: str, key: bytes) -> str:
         right = luhn(re.sub(r"\D", "", value))
         return _walk(lambda v: permuted_format(key, kind, v, lambda i, c: i == 0), lambda v: luhn(re.sub(r"\D", "", v)) == right, value)
     if kind == "name":
-        given, _, family = value.partition(" ")
+        given, blank, family = value.rpartition(" ")
         for (script, gender), names in GIVEN_NAMES.items():
             if given in names:
                 given = names[Permutation(key, f"{script}|{gender}", len(names))(names.index(given))]
                 break
-        return f"{given} {permuted_format(key, 'family', family)}"
+        else:
+            given = _walk(lambda v: permuted_format(key, "given", v), lambda v: v not in _GIVEN, given) if given else ""
+        return f"{given}{blank}{permuted_format(key, 'family', family)}"
     if kind == "email":
         local, _, domain = value.partition("@")
         head, _, top = domain.rpartition(".")
@@ -194,6 +213,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text)]
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
     found += [(m.start(), m.end(2), "name") for m in _NAME.finditer(text) if m[1] in _GIVEN]
+    if any(b in text for b in _BEFORE):
+        found += [(m.start(1), m.end(1), "name") for m in _INTRODUCED.finditer(text)]
     out, end = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
@@ -216,10 +237,12 @@ def rewritten(text: str, replace: Callable[[str, str], str]) -> tuple[str, list[
         return _PART.sub(part, piece) if known else piece
 
     for start, end, kind in entities(text):
-        parts += [between(text[at:start]), new := replace(kind, text[start:end])]
+        value = text[start:end]
+        new = known[value] if kind == "name" and value in known else replace(kind, value)
+        parts += [between(text[at:start]), new]
         kinds.append(kind)
         if kind == "name":
-            known.update(zip(text[start:end].split(" ", 1), new.split(" ", 1), strict=True))
+            known.update(zip(value.split(" ", 1), new.split(" ", 1), strict=True))
         at = end
     return "".join([*parts, between(text[at:])]) if kinds else text, kinds
 
@@ -239,7 +262,8 @@ def _exceptions(rows: DataFrame, key: bytes, most_rounds: int) -> DataFrame:
         def moved(batches):
             for batch in batches:
                 kinds, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                new = [surrogate(k, v, key + b"|%d" % turn) for k, v in zip(kinds, values, strict=True)]
+                fresh, more = key + b"|%d" % turn, turn - most_rounds
+                new = [surrogate(k, v, fresh) if more <= 0 else longer(k, v, fresh, more) for k, v in zip(kinds, values, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(new, pa.string())], names=["kind", "value", "surrogate"])
 
         return moved
@@ -250,19 +274,21 @@ def _exceptions(rows: DataFrame, key: bytes, most_rounds: int) -> DataFrame:
     real, changed = known.select("kind", F.col("value").alias("surrogate")), known.filter("surrogate <> value")
     open_rows = written(changed.join(real, both, "left_semi").select("kind", "value", "surrogate"), "open")
     taken, done = real.unionByName(changed.join(real, both, "left_anti").select(*both)), None
-    for turn in range(1, most_rounds + 1):
-        if not open_rows.limit(1).count():
-            break
+    turn, old = 0, []
+    while open_rows.limit(1).count():
+        turn += 1
         moved = written(arrow_map(open_rows, again(turn), ddl), "moved")
-        free = written(moved.join(taken, both, "left_anti").select("kind", "value", "surrogate"), "free")
-        open_rows = written(moved.join(taken, both, "left_semi").select("kind", "value", "surrogate"), "open")
-        done, taken = free if done is None else done.unionByName(free), taken.unionByName(free.select(*both))
-    else:
-        raise RuntimeError("an entity's format is too small for a free surrogate")
+        # two formats may get equal longer ones: one of them stays
+        lone = moved.groupBy(*both).agg(F.min("value").alias("value")).select("kind", "value", "surrogate")
+        free = written(lone.join(taken, both, "left_anti").select("kind", "value", "surrogate"), "free")
+        left = written(open_rows.join(free.select("kind", "value"), ["kind", "value"], "left_anti"), "open")
+        old += [open_rows, moved]
+        open_rows, done, taken = left, free if done is None else done.unionByName(free), taken.unionByName(free.select(*both))
+    drop_written(*old, open_rows)
     return known.limit(0) if done is None else done
 
 
-def replace_entities(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", *, most_rounds: int = 64) -> DataFrame:
+def replace_entities(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", *, most_rounds: int = 8) -> DataFrame:
     """``id_col``, n_entities, kinds (sorted, once each), text: every text with its entities replaced."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
