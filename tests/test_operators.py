@@ -225,3 +225,92 @@ def test_dataset_chains(spark, sf_dir):
     assert ds.sample_with(lambda frames: (f.head(1) for f in frames)).count_value() == 1
     with pytest.raises(ValueError):
         ds.map(lambda pdf: pdf)
+
+
+def test_index_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(7, "a", 1), (8, "b", 2)], "_place long, _part string, _before int")
+    got = ordering.zip_with_index(df, "_place")
+    assert got.columns == ["_place", "_part", "_before", "index"] and values(got) == [(7, "a", 1, 0), (8, "b", 2, 1)]
+    with pytest.raises(ValueError):
+        ordering.zip_with_index(spark.createDataFrame([(1,)], "index int"))
+    ranked = ordering.top_per_key(spark.createDataFrame([(1, 5), (1, 6)], "_rank int, v int"), 1, "_rank", F.desc("v"))
+    assert values(ranked) == [(1, 6)]
+
+
+def test_rows_are_reduced_by_python(spark):
+    df = spark.createDataFrame([("a", 1, None), ("b", 5, 2.0), ("a", 7, 1.5)] * 20, "k string, n long, x double").repartition(4)
+    join = lambda a, b: {"k": min(a["k"], b["k"]), "n": a["n"] + b["n"], "x": max(a["x"] or 0.0, b["x"] or 0.0)}
+    assert values(Dataset(df).reduce_python(join).df) == [("a", 260, 2.0)]
+    assert values(Dataset(df).group_reduce_python(join, "k").df) == [("a", 160, 1.5), ("b", 100, 2.0)]
+    assert Dataset(df.limit(0)).reduce_python(join).count_value() == 0 and Dataset(df.limit(0)).group_reduce_python(join, "k").count_value() == 0
+    many = spark.createDataFrame([(str(i % 50), i) for i in range(500)], "key string, value long")
+    from weftline.functions.reducers import reduce_python
+
+    assert values(reduce_python(many, "key", "value", max, most_held=5)) == sorted((str(i), 450 + i) for i in range(50))
+
+
+def test_partitioners(spark):
+    df = spark.range(100)
+    placed = partitioning.by_number(df, 4, F.col("id") - 50).withColumn("p", F.spark_partition_id())
+    assert all(r.p == (r.id - 50) % 4 for r in placed.collect())
+    assert values(partitioning.partition(df, partitioning.KEEP)) == values(df)
+    assert partitioning.range_partitioner(3, "id", sort=True)(df).rdd.getNumPartitions() == 3
+    assert partitioning.at_random(df, 3).count() == 100 and partitioning.with_partitions(df.repartition(9), 2).rdd.getNumPartitions() == 2
+    assert partitioning.number_partitioner(3, F.lit(None))(df).count() == 100
+
+
+def test_lines_with_half_numbers_are_left_out(spark):
+    lines = spark.createDataFrame([("a b c 12x34 5 d e f g h i",), ("a b c 12.5 5 d e f g h i",)], "l string")
+    assert [r[0] for r in lines.select(parsing.numeric_fields(F.col("l"), drop=3, drop_right=6)).collect()] == [None, [12.5, 5.0]]
+
+
+def test_wide_rows_are_exploded(spark, monkeypatch):
+    points = spark.createDataFrame([([1.0, float(i)], 3.0 + 2.0 * i) for i in range(-5, 6)], "x array<double>, y double")
+    narrow, centres = values(iterative.gradient(points, [0.5, 1], iterative.squared_error)), values(iterative.centre_step(points, [[0, 0], [1, 4]]))
+    monkeypatch.setattr(iterative, "WIDEST", 1)
+    assert values(iterative.gradient(points, [0.5, 1], iterative.squared_error)) == narrow and values(iterative.centre_step(points, [[0, 0], [1, 4]])) == centres
+
+
+def test_columns_by_functions(spark):
+    m = spark.createDataFrame([(1, [3.0, 4.0]), (0, [1.0, 2.0])], "idx long, row array<double>")
+    assert values(linalg.map_each_column(m, lambda c: [c[0]] * len(c))) == [(0, [1.0, 2.0]), (1, [1.0, 2.0])]
+    assert values(linalg.reduce_rows(m, width=2)) == values(linalg.reduce_rows(m))
+
+
+def test_a_database_table_round_trips(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(40)], "id int, name string")
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no embedded database on the class path")
+    readers.write_jdbc(df, url, "t", driver=driver)
+    got = readers.jdbc(spark, url, "t", partition_column="id", lower=0, upper=40, partitions=4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted(tuple(r) for r in got.collect()) == values(df)
+
+
+def test_series_queries_by_code(spark):
+    df = spark.createDataFrame([("m", "cpu", "n1", str(i), "s", 1000 * i) for i in range(10)], metrics.POINT_DDL)
+    assert metrics.query(df, "sum", prop="cpu", key="n1").first()[0] == 45.0
+    assert metrics.query(df, "nothing") is None and metrics.query(df, "sum", wrong=1) is None
+    c = metrics.Counters()
+    c.add_all(spark.createDataFrame([("p", "k", 2), ("p", "k", 3)], "prop string, key string, n long"))
+    assert c.get("p", "k") == 5
+
+
+def test_versions_and_tasks(spark, sf_dir):
+    runs = provenance.Runs(spark, "app", "2")
+    run, _ = runs.run(readers.parquet(spark, f"{sf_dir}/nation.parquet").repartition(3))
+    tasks = runs.tasks(run).collect()
+    assert len(tasks) >= 3 and all(t.executor and t.core >= 0 and t.inputs and t.ended >= t.started for t in tasks)
+    assert tuple(runs.versions().first()) == ("app", "2", 1, 1) and runs.instances("3").count() == 0 and runs.applications().first()["versions"] == 1
+    assert provenance.merged_runs(runs, provenance.Runs(spark, "app", "3")).count() == 1
+
+
+def test_actions_on_rows(spark):
+    seen = spark.sparkContext.accumulator(0)
+    Dataset(spark.range(10)).foreach(lambda rows: seen.add(sum(r.id for r in rows)))
+    assert seen.value == 45
+    nested = Dataset(spark.createDataFrame([([[1, 2], [3]],), ([[]],)], "a array<array<int>>"))
+    assert values(nested.flatten("a").df) == [(1,), (2,), (3,)]

@@ -1,7 +1,7 @@
 import pytest
 from compare import assert_same
 
-from weftline import queries
+from weftline import queries, workloads  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -9,9 +9,8 @@ def test_query_equals_its_sql(name, spark, sf_dir, duck):
     assert_same(queries.QUERIES[name](spark, sf_dir), duck.sql(queries.SQL[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
-def test_query_without_sql_runs(name, spark, sf_dir):
-    assert queries.QUERIES[name](spark, sf_dir).count() >= 0
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.SQL)
 
 
 def test_entry(spark):

@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.reducers import reduce_rows_python
 from weftline.operators import actions, joins, keyed, ordering, partitioning, sampling, sets
 from weftline.plans import provenance
 from weftline.sources import readers
@@ -84,6 +85,10 @@ class Dataset:
 
         return Dataset(self.df.mapInPandas(numbered, schema))
 
+    def flatten(self, arrays: Column | str, name: str = "value") -> Dataset:
+        """A row per element of the arrays in an array of arrays."""
+        return Dataset(self.df.select(F.explode(F.flatten(keyed.column(arrays))).alias(name)))
+
     def zip_with_index(self, *keys, name: str = "index") -> Dataset:
         return Dataset(ordering.zip_with_index(self.df, *keys, name=name))
 
@@ -168,10 +173,32 @@ class Dataset:
     def partition_by_range(self, n: int, *keys, sort: bool = False) -> Dataset:
         return Dataset(partitioning.by_range(self.df, n, *keys, sort=sort))
 
+    def partition_by_number(self, n: int, number: Column) -> Dataset:
+        return Dataset(partitioning.by_number(self.df, n, number))
+
+    def partition(self, partitioner: partitioning.Partitioner) -> Dataset:
+        return Dataset(partitioning.partition(self.df, partitioner))
+
+    with_partitioner = partition
+
+    def fewer(self, n: int) -> Dataset:
+        """At most ``n`` partitions, without a shuffle."""
+        return Dataset(partitioning.fewer(self.df, n))
+
     def partition_in_turn(self, n: int) -> Dataset:
         return Dataset(partitioning.in_turn(self.df, n))
 
-    with_parallelism = partition_in_turn
+    def with_parallelism(self, n: int) -> Dataset:
+        """``n`` partitions, without a shuffle where there are more now."""
+        return Dataset(partitioning.with_partitions(self.df, n))
+
+    def compress(self, codec: str = "zstd") -> Dataset:
+        """Cached columns and written files of this session are compressed, by ``codec``, from now on; shuffled blocks always are."""
+        conf = self.df.sparkSession.conf
+        conf.set("spark.sql.inMemoryColumnarStorage.compressed", "true")
+        conf.set("spark.sql.parquet.compression.codec", codec)
+        conf.set("spark.sql.orc.compression.codec", codec)
+        return self
 
     # samples and actions
 
@@ -193,6 +220,14 @@ class Dataset:
     def reduce(self, column: str, how) -> Dataset:
         return Dataset(actions.reduce(self.df, column, how))
 
+    def reduce_python(self, f: Callable[[dict, dict], dict]) -> Dataset:
+        """All rows combined in pairs by a Python function of two rows, which must be associative and commutative."""
+        return Dataset(reduce_rows_python(self.df, f))
+
+    def group_reduce_python(self, f: Callable[[dict, dict], dict], *keys: str) -> Dataset:
+        """As ``reduce_python``, for the rows of each key."""
+        return Dataset(reduce_rows_python(self.df, f, *keys))
+
     def fold(self, column: str, zero, how) -> Dataset:
         return Dataset(actions.fold(self.df, column, zero, how))
 

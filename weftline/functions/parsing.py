@@ -39,4 +39,4 @@ def numeric_fields(line: Column, *, drop: int, drop_right: int) -> Column:
     """White-space separated tokens without the first ``drop`` and last ``drop_right``, as doubles; null if one is no number."""
     tokens = words(line)
     kept = F.slice(tokens, drop + 1, F.greatest(F.size(tokens) - drop - drop_right, F.lit(0)))
-    return F.when(F.forall(kept, lambda t: full_match(t, r"\d+(.\d+)?")), F.transform(kept, lambda t: t.try_cast("double")))
+    return F.when(F.forall(kept, lambda t: full_match(t, r"\d+(\.\d+)?")), F.transform(kept, lambda t: t.try_cast("double")))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Reducer = str | Callable[[Column], Column]
 
@@ -34,15 +33,54 @@ def reducer(how: Reducer) -> Callable[[Column], Column]:
 
 
 def exact_sum(value: Column, scale: int = 2) -> Column:
-    """The sum of decimals kept as doubles, the same in any order of rows."""
-    return F.sum(value.cast(T.DecimalType(18, scale))).cast("double")
+    """The sum of decimals kept as doubles, the same in any order of rows.
+
+    Whole units of the last place are added as longs; beyond 9.2e18 of them the sum is an error.
+    """
+    return F.sum(F.round(value * 10**scale).cast("long")) / F.lit(float(10**scale))
+
+
+def reduce_rows_python(df: DataFrame, f: Callable[[dict, dict], dict], *keys: str) -> DataFrame:
+    """Rows of equal ``keys`` (of all rows, without keys) combined in pairs by ``f(row, row) -> row``; no row without rows.
+
+    Rows are dicts of all columns. ``f`` must be associative and commutative and keep the keys.
+    Batches are combined before rows move, and once more where they meet: a task hands on one row
+    a key and batch at most.
+    """
+    columns, schema = df.columns, df.schema
+    key_of = lambda r: tuple(r[k] for k in keys)
+
+    def combined(frames):
+        for pdf in frames:
+            held: dict = {}
+            for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                k = key_of(r)
+                held[k] = f(held[k], r) if k in held else r
+            yield pd.DataFrame(list(held.values()), columns=columns, dtype=object)
+
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        return next(combined([pdf]))
+
+    local = df.mapInPandas(combined, schema)
+    if keys:
+        return local.groupBy(*keys).applyInPandas(final, schema)
+
+    def last(frames):
+        out = None
+        for pdf in combined(frames):
+            for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                out = r if out is None else f(out, r)
+        if out is not None:
+            yield pd.DataFrame([out], columns=columns, dtype=object)
+
+    return local.mapInPandas(last, schema).coalesce(1).mapInPandas(last, schema)
 
 
-def reduce_python(df: DataFrame, key: str, value: str, f: Callable) -> DataFrame:
+def reduce_python(df: DataFrame, key: str, value: str, f: Callable, *, most_held: int = 100_000) -> DataFrame:
     """(key, value): values of each key combined by the associative and commutative Python function ``f``.
 
-    Each partition combines its own rows in batches first, so a hot key sends one row per
-    partition into the final step.
+    Each partition combines its own rows in batches first, so a hot key sends few rows per
+    partition into the final step; beyond ``most_held`` keys what is combined is passed on.
     """
     schema = df.select(key, value).schema
 
@@ -52,7 +90,11 @@ def reduce_python(df: DataFrame, key: str, value: str, f: Callable) -> DataFrame
             for k, v in zip(pdf[key], pdf[value], strict=True):
                 k = None if pd.isna(k) else k
                 held[k] = f(held[k], v) if k in held else v
-        yield pd.DataFrame({key: list(held), value: list(held.values())}, columns=[key, value])
+            if len(held) > most_held:
+                yield pd.DataFrame({key: list(held), value: list(held.values())}, columns=[key, value])
+                held = {}
+        if held:
+            yield pd.DataFrame({key: list(held), value: list(held.values())}, columns=[key, value])
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         values = iter(pdf[value])

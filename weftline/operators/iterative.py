@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.linalg import dot_arrays, squared_distance
+from weftline.names import unused
+from weftline.operators.linalg import WIDEST, dot_arrays, element_aggregates, squared_distance
 
 
 def _literal(values: Sequence[float]) -> Column:
@@ -15,9 +16,15 @@ def _literal(values: Sequence[float]) -> Column:
 
 
 def gradient(points: DataFrame, weights: Sequence[float], error: Callable[[Column, Column], Column], x: str = "x", y: str = "y") -> DataFrame:
-    """(pos, g): the mean over rows of error(w.x, y) * x, by position; partial sums leave each task."""
-    rows = points.select(x, error(dot_arrays(F.col(x), _literal(weights)), F.col(y)).alias("_e"))
-    return rows.select("_e", F.posexplode(x).alias("pos", "_x")).groupBy("pos").agg(F.avg(F.col("_e") * F.col("_x")).alias("g"))
+    """(pos, g): the mean over rows of error(w.x, y) * x, by position; partial sums leave each task.
+
+    One aggregate a position, so rows are not multiplied; very wide ones are exploded.
+    """
+    rows = points.select(F.col(x).alias("x"), error(dot_arrays(F.col(x), _literal(weights)), F.col(y)).alias("e"))
+    if len(weights) > WIDEST:
+        return rows.select("e", F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.avg(F.col("e") * F.col("v")).alias("g"))
+    means = element_aggregates("x", len(weights), lambda v: F.avg(F.col("e") * v))
+    return rows.agg(means.alias("g")).select(F.posexplode("g").alias("pos", "g")).filter("g is not null")
 
 
 def squared_error(p: Column, y: Column) -> Column:
@@ -49,12 +56,17 @@ def logistic_regression(points: DataFrame, weights: Sequence[float], *, rate: fl
 def assign(points: DataFrame, centres: Sequence[Sequence[float]], x: str = "x") -> DataFrame:
     """``points`` with ``cluster``, the closest centre, the first of equally close ones, and ``distance`` (squared)."""
     best = F.array_min(F.array(*[F.struct(squared_distance(F.col(x), _literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))
-    return points.withColumn("_b", best).withColumn("cluster", F.col("_b.i")).withColumn("distance", F.col("_b.d")).drop("_b")
+    held = unused(points, stem="best")
+    return points.withColumn(held, best).withColumn("cluster", F.col(f"{held}.i")).withColumn("distance", F.col(f"{held}.d")).drop(held)
 
 
 def centre_step(points: DataFrame, centres: Sequence[Sequence[float]], x: str = "x") -> DataFrame:
     """(cluster, pos, v): the means of the points assigned to each centre."""
-    return assign(points, centres, x).select("cluster", F.posexplode(x).alias("pos", "_x")).groupBy("cluster", "pos").agg(F.avg("_x").alias("v"))
+    placed, width = assign(points.select(F.col(x).alias("x")), centres, "x"), max(map(len, centres))
+    if width > WIDEST:
+        return placed.select("cluster", F.posexplode("x").alias("pos", "v")).groupBy("cluster", "pos").agg(F.avg("v").alias("v"))
+    means = element_aggregates("x", width, F.avg)
+    return placed.groupBy("cluster").agg(means.alias("m")).select("cluster", F.posexplode("m").alias("pos", "v")).filter("v is not null")
 
 
 def k_means(points: DataFrame, centres: Sequence[Sequence[float]], *, iterations: int = 10, tolerance: float = 0.0, x: str = "x") -> list[list[float]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.names import unused
 from weftline.operators.keyed import KEY, VALUE, column, keyed
 
 
@@ -21,8 +22,9 @@ def cogroup(left: DataFrame, right: DataFrame, left_key: Column | str, right_key
 
 def _outer(a: DataFrame, b: DataFrame) -> DataFrame:
     """Full outer join on key where null keys are one key too, as in grouping."""
-    b = b.withColumnRenamed(KEY, "_k")
-    return a.join(b, F.col(KEY).eqNullSafe(F.col("_k")), "full_outer").withColumn(KEY, F.coalesce(KEY, "_k")).drop("_k")
+    other = unused(a, b, stem="k")
+    b = b.withColumnRenamed(KEY, other)
+    return a.join(b, F.col(KEY).eqNullSafe(F.col(other)), "full_outer").withColumn(KEY, F.coalesce(KEY, other)).drop(other)
 
 
 def cogroup_aggregate(left: DataFrame, right: DataFrame, left_key: Column | str, right_key: Column | str, left_aggregates: dict[str, Column], right_aggregates: dict[str, Column]) -> DataFrame:
@@ -38,14 +40,15 @@ def join_by(left: DataFrame, right: DataFrame, left_key: Column | str, right_key
     ``how`` may be any of Spark's join types. Columns of the right side whose names the left
     has too get the prefix ``right_``.
     """
-    a = left.withColumn("_lk", column(left_key))
-    b = right.withColumn("_rk", column(right_key))
+    lk, rk = unused(left, right, stem="lk"), unused(left, right, stem="rk")
+    a = left.withColumn(lk, column(left_key))
+    b = right.withColumn(rk, column(right_key))
     clash = set(left.columns) & set(right.columns)
     b = b.select(*[F.col(f"`{c}`").alias(f"right_{c}" if c in clash else c) for c in b.columns])
-    out = a.join(b, F.col("_lk") == F.col("_rk"), how)
+    out = a.join(b, F.col(lk) == F.col(rk), how)
     if how.replace("_", "") in ("leftsemi", "semi", "leftanti", "anti"):
-        return out.withColumnRenamed("_lk", KEY)
-    return out.withColumn(KEY, F.coalesce("_lk", "_rk")).drop("_lk", "_rk")
+        return out.withColumnRenamed(lk, KEY)
+    return out.withColumn(KEY, F.coalesce(lk, rk)).drop(lk, rk)
 
 
 def join_by_key(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from weftline.functions.reducers import Reducer, reducer
 
 IDX, V, ROW = "idx", "v", "row"
+#: Columns that are aggregated one by one in a row; wider rows are exploded into cells.
+WIDEST = 200
+
+
+def element_aggregates(array: str, width: int, how: Callable[[Column], Column]) -> Column:
+    """An array of one aggregate for each of the first ``width`` elements."""
+    return F.array(*[how(F.get(F.col(array), F.lit(i)).cast("double")) for i in range(width)])
 
 
 def local_vector(spark, values: Sequence[float]) -> DataFrame:
@@ -114,8 +121,10 @@ def cells(m: DataFrame) -> DataFrame:
     return m.select(IDX, F.posexplode(ROW).alias("col", "x"))
 
 
-def reduce_rows(m: DataFrame, how: Reducer = "sum") -> DataFrame:
-    """The element-wise reduction over rows: a vector with one element per column."""
+def reduce_rows(m: DataFrame, how: Reducer = "sum", *, width: int | None = None) -> DataFrame:
+    """The element-wise reduction over rows: a vector with one element per column; a known ``width`` saves exploding the rows."""
+    if width is not None and width <= WIDEST:
+        return m.agg(element_aggregates(ROW, width, reducer(how)).alias(ROW)).select(F.posexplode(ROW).alias("p", V)).select(F.col("p").cast("long").alias(IDX), V)
     return cells(m).groupBy("col").agg(reducer(how)(F.col("x")).alias(V)).select(F.col("col").cast("long").alias(IDX), V)
 
 
@@ -147,6 +156,23 @@ def col(m: DataFrame, j: int) -> DataFrame:
     return m.select(IDX, F.get(ROW, F.lit(j)).alias(V))
 
 
+def map_each_column(m: DataFrame, f: Callable[[list[float]], list[float]]) -> DataFrame:
+    """Each column by a Python function of the whole column, in the order of ``idx``, to a column of the same size.
+
+    A column meets in one task; use ``map_columns`` where a column's statistics do. Rows must be equally wide.
+    """
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values([IDX])
+        out = [float(x) for x in f(ordered["x"].tolist())]
+        return pd.DataFrame({IDX: ordered[IDX], "col": ordered["col"], "x": out})
+
+    columns = cells(m).select(IDX, "col", F.col("x").cast("double").alias("x")).groupBy("col").applyInPandas(one, "idx long, col int, x double")
+    rows = columns.groupBy(IDX).agg(F.sort_array(F.collect_list(F.struct("col", "x"))).alias("r"))
+    return rows.select(IDX, F.transform("r", lambda c: c["x"]).alias(ROW))
+
+
 def map_columns(m: DataFrame, f: Callable[[Column, Column], Column], **stats: Callable[[Column], Column]) -> DataFrame:
     """Each cell by ``f(cell, column's statistics)``, where ``stats`` are aggregates over the column.
 

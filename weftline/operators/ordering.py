@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.names import unused
 from weftline.session import cut_lineage
 
 
@@ -22,8 +23,8 @@ def top_per_key(df: DataFrame, k: int, key: str, *order: Column) -> DataFrame:
     """The first ``k`` rows of each key; a key's rows are cut to k in each task before they meet."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+    rank = unused(df, stem="rank")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col(rank) <= k).drop(rank)
 
 
 def zip_with_index(df: DataFrame, *keys: Column | str, name: str = "index") -> DataFrame:
@@ -32,17 +33,20 @@ def zip_with_index(df: DataFrame, *keys: Column | str, name: str = "index") -> D
     Rows are ranged and sorted once and stored; an index is the place in the partition plus the
     sizes of those before, of which there is one number per partition: no task sees all rows.
     """
+    if name in df.columns:
+        raise ValueError(f"there is a column {name} already")
+    place, part, before = (unused(df, stem=x) for x in ("place", "part", "before"))
     ordered = df.orderBy(*keys) if keys else df
-    placed = cut_lineage(ordered.withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright(F.col("_id"), 33)
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, offsets = 0, []
+    placed = cut_lineage(ordered.withColumn(place, F.monotonically_increasing_id()))
+    number = F.shiftright(F.col(place), 33)
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(number.alias("p")).agg(F.count("*").alias("n")).collect()}
+    total, offsets = 0, []
     for p in sorted(sizes):
-        offsets.append((p, before))
-        before += sizes[p]
+        offsets.append((p, total))
+        total += sizes[p]
     if not offsets:
         return df.withColumn(name, F.lit(0).cast("long"))
-    table = placed.sparkSession.createDataFrame(offsets, "_part long, _before long")
-    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    joined = placed.withColumn("_part", part.cast("long")).join(F.broadcast(table), "_part")
-    return joined.withColumn(name, F.col("_before") + inside).drop("_id", "_part", "_before")
+    table = placed.sparkSession.createDataFrame(offsets, f"{part} long, {before} long")
+    inside = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.withColumn(part, number.cast("long")).join(F.broadcast(table), part)
+    return joined.withColumn(name, F.col(before) + inside).drop(place, part, before)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 PHASES = ("parsed", "analyzed", "optimized", "physical")
 PLAN_DDL = "phase string, node int, parent int, depth int, name string, description string"
+TASK_DDL = "run string, app string, version string, stage int, attempt int, task long, function string, executor string, host string, core int, inputs array<string>, status string, started long, ended long"
 TRACE_DDL = "run string, app string, version string, stage int, name string, tasks int, failed int, status string, submitted long, completed long"
 
 
@@ -77,6 +78,18 @@ class Runs:
     def runs(self) -> DataFrame:
         return self.spark.createDataFrame(self._rows, "run string, app string, version string, status string, started long, ended long")
 
+    def applications(self) -> DataFrame:
+        """(app, versions, runs) of this registry."""
+        return self.runs().groupBy("app").agg(F.countDistinct("version").alias("versions"), F.count("*").alias("runs"))
+
+    def versions(self) -> DataFrame:
+        """(app, version, runs, succeeded)."""
+        return self.runs().groupBy("app", "version").agg(F.count("*").alias("runs"), F.count(F.when(F.col("status") == "SUCCEEDED", 1)).alias("succeeded"))
+
+    def instances(self, version: str | None = None) -> DataFrame:
+        """The runs of a version, or of all."""
+        return self.runs() if version is None else self.runs().filter(F.col("version") == version)
+
     def plans(self, run: str) -> DataFrame:
         return plan_rows(self._plans[run]).withColumn("run", F.lit(run))
 
@@ -96,6 +109,44 @@ class Runs:
         return self.spark.createDataFrame(rows, TRACE_DDL)
 
 
+    def tasks(self, run: str, most: int = 100_000) -> DataFrame:
+        """A row per task of a run, as far as Spark still remembers it, ``most`` per stage at most.
+
+        ``core`` is the first place of its executor that is free when the task starts; ``inputs``
+        are the files that the run reads; a task that has not ended ends at -1.
+        """
+        store = self.spark.sparkContext._jsc.sc().statusStore()
+        tracker, rows, inputs = self.spark.sparkContext.statusTracker(), [], list(self._plans[run].inputFiles())
+        for job in tracker.getJobIdsForGroup(run):
+            info = tracker.getJobInfo(job)
+            for stage in info.stageIds if info else ():
+                try:
+                    s = store.lastStageAttempt(stage)
+                    tasks = store.taskList(stage, s.attemptId(), most)
+                except Exception:  # forgotten by the store
+                    continue
+                for i in range(tasks.size()):
+                    t = tasks.apply(i)
+                    began = t.launchTime().getTime()
+                    ended = began + int(str(t.duration().get())) if t.duration().isDefined() else -1
+                    rows.append([run, self.app, self.version, stage, t.attempt(), t.taskId(), s.name(), t.executorId(), t.host(), 0, inputs, t.status(), began, ended])
+        free: dict[str, list[int]] = {}  # executor: when each of its cores is free
+        for r in sorted(rows, key=lambda r: r[12]):
+            cores = free.setdefault(r[7], [])
+            core = next((k for k, until in enumerate(cores) if until <= r[12]), len(cores))
+            cores[core : core + 1] = [r[13] if r[13] >= 0 else 1 << 62]
+            r[9] = core
+        return self.spark.createDataFrame(rows, TASK_DDL)
+
+
+def merged_runs(*registries: Runs) -> DataFrame:
+    """The runs of several applications and versions."""
+    out = registries[0].runs()
+    for r in registries[1:]:
+        out = out.unionByName(r.runs())
+    return out
+
+
 def lanes(trace: DataFrame, lane: Column | str, start: Column | str, end: Column | str, now: Column | int) -> DataFrame:
     """(lane, tasks, first, last, busy): unfinished tasks (end before start) count as running until ``now``."""
     now = F.lit(now) if isinstance(now, int) else now

@@ -339,14 +339,12 @@ def partition_rr(spark, d):
     return partitioning.partition_sizes(partitioning.in_turn(table(spark, d, "customer"), 4)).agg(F.count("*").alias("partitions"), F.sum("size").alias("n"))
 
 
-@query("SELECT 10 AS n")
+@query("SELECT 10 AS n, true AS known")
 def sample_n(spark, d):
-    return sampling.first_rows(table(spark, d, "customer"), 10).agg(F.count("*").alias("n"))
-
-
-@query(None)
-def sample_fraction(spark, d):
-    return sampling.fraction(table(spark, d, "orders"), 0.1, seed=7)
+    customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    drawn = sampling.first_rows(customers, 10)
+    known = drawn.join(customers, customers.columns, "left_semi").count()
+    return drawn.agg(F.count("*").alias("n"), ((F.countDistinct("c_custkey") == 10) & F.lit(known == 10)).alias("known"))
 
 
 # vectors and matrices
@@ -360,35 +358,36 @@ def matrix(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("row"))
 
 
-_EVEN = "(SELECT vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings WHERE vec_id % 2 = 0)"
-_THIRD = "(SELECT vec_id AS idx, CAST(embedding[2] AS DOUBLE) AS v FROM embeddings WHERE vec_id % 3 = 0)"
+_FIRST = "(SELECT vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings)"
+_SHIFTED = "(SELECT vec_id + 40 AS idx, CAST(embedding[2] AS DOUBLE) AS v FROM embeddings)"
 
 
 def _two(spark, d):
-    return vector(spark, d, 0).filter("idx % 2 = 0"), vector(spark, d, 1).filter("idx % 3 = 0")
+    """Two whole vectors; the second one's indexes are shifted, so that each has some that the other lacks."""
+    return vector(spark, d, 0), vector(spark, d, 1).withColumn("idx", F.col("idx") + 40)
 
 
-@query(f"SELECT coalesce(a.idx, b.idx) AS idx, coalesce(a.v, 0) + coalesce(b.v, 0) AS v FROM {_EVEN} a FULL JOIN {_THIRD} b ON a.idx = b.idx")
+@query(f"SELECT coalesce(a.idx, b.idx) AS idx, coalesce(a.v, 0) + coalesce(b.v, 0) AS v FROM {_FIRST} a FULL JOIN {_SHIFTED} b ON a.idx = b.idx")
 def vec_add(spark, d):
     return linalg.add(*_two(spark, d))
 
 
-@query(f"SELECT coalesce(a.idx, b.idx) AS idx, coalesce(a.v, 0) * coalesce(b.v, 0) AS v FROM {_EVEN} a FULL JOIN {_THIRD} b ON a.idx = b.idx")
+@query(f"SELECT coalesce(a.idx, b.idx) AS idx, coalesce(a.v, 0) * coalesce(b.v, 0) AS v FROM {_FIRST} a FULL JOIN {_SHIFTED} b ON a.idx = b.idx")
 def vec_times(spark, d):
     return linalg.times(*_two(spark, d))
 
 
-@query(f"SELECT a.idx, a.v - b.v AS v FROM {_EVEN} a JOIN {_THIRD} b ON a.idx = b.idx")
+@query(f"SELECT a.idx, a.v - b.v AS v FROM {_FIRST} a JOIN {_SHIFTED} b ON a.idx = b.idx")
 def vec_minus(spark, d):
     return linalg.minus(*_two(spark, d))
 
 
-@query(f"SELECT round(sum(a.v * b.v), 6) + 0.0 AS value FROM {_EVEN} a JOIN {_THIRD} b ON a.idx = b.idx")
+@query(f"SELECT round(sum(a.v * b.v), 6) + 0.0 AS value FROM {_FIRST} a JOIN {_SHIFTED} b ON a.idx = b.idx")
 def vec_inner(spark, d):
     return linalg.inner(*_two(spark, d)).select(F.round("value", 6).alias("value"))
 
 
-@query(f"SELECT idx, v FROM {_EVEN} WHERE idx >= 10 AND idx < 30")
+@query(f"SELECT idx, v FROM {_FIRST} WHERE idx >= 10 AND idx < 30")
 def vec_slice(spark, d):
     return linalg.cut(_two(spark, d)[0], 10, 20)
 
@@ -419,7 +418,7 @@ def mat_dot(spark, d):
 
 @query(f"SELECT c AS idx, round(sum(x), 6) + 0.0 AS v FROM {_CELLS} GROUP BY 1")
 def mat_sum_rows(spark, d):
-    return linalg.reduce_rows(matrix(spark, d)).select("idx", F.round("v", 6).alias("v"))
+    return linalg.reduce_rows(matrix(spark, d), width=64).select("idx", F.round("v", 6).alias("v"))
 
 
 @query(f"SELECT vec_id AS idx, round(sum(x), 6) + 0.0 AS v FROM {_CELLS} GROUP BY 1")
@@ -432,7 +431,7 @@ def mat_norm(spark, d):
     return linalg.cells(linalg.normalised(matrix(spark, d))).select("idx", F.col("col").cast("long").alias("col"), F.round("x", 6).alias("x"))
 
 
-@query(f"SELECT t.vec_id AS idx, c AS col, round(x * CAST(e.embedding[1] AS DOUBLE), 6) + 0.0 AS x FROM {_CELLS} t JOIN embeddings e ON t.vec_id = e.vec_id WHERE t.vec_id % 2 = 0")
+@query(f"SELECT t.vec_id AS idx, c AS col, round(x * CAST(e.embedding[1] AS DOUBLE), 6) + 0.0 AS x FROM {_CELLS} t JOIN embeddings e ON t.vec_id = e.vec_id")
 def mat_zip_map(spark, d):
     out = linalg.zip_rows(matrix(spark, d), _two(spark, d)[0], lambda x, v: x * v)
     return linalg.cells(out).select("idx", F.col("col").cast("long").alias("col"), F.round("x", 6).alias("x"))

@@ -56,6 +56,11 @@ def jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str | N
     return reader.load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, *, mode: str = "errorifexists", batch: int = 10_000, **properties: str) -> None:
+    """Write to a database table, a connection a partition, in batches; the driver's jar must be present."""
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, batchsize=batch, **properties).save()
+
+
 def from_rows(spark: SparkSession, rows: Sequence, schema: T.StructType | str) -> DataFrame:
     """In-memory rows; the schema is stated, so that no rows are fine too."""
     if isinstance(schema, str) and schema.strip().isidentifier() or isinstance(schema, T.DataType) and not isinstance(schema, T.StructType):

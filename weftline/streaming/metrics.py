@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.names import unused
+
 POINT_DDL = "monitor string, prop string, key string, value string, source string, time long"
 DAY_MS = 24 * 3600 * 1000
 #: Names and signs of the arithmetic between two sums.
@@ -13,8 +18,8 @@ OPERATIONS = {"+": "plus", "-": "minus", "*": "multiply", "/": "divide"}
 
 def retained(points: DataFrame, limit: int = 512, *tie: str) -> DataFrame:
     """The latest ``limit`` points of each prop and key; ``tie`` orders points of the same time."""
-    rank = F.row_number().over(Window.partitionBy("prop", "key").orderBy(F.desc("time"), *[F.desc(t) for t in tie]))
-    return points.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+    rank, order = unused(points, stem="rank"), Window.partitionBy("prop", "key").orderBy(F.desc("time"), *[F.desc(t) for t in tie])
+    return points.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= limit).drop(rank)
 
 
 def props(points: DataFrame, like: str = "") -> DataFrame:
@@ -79,30 +84,55 @@ def computed(points: DataFrame, left: tuple[str, str], operation: str, right: tu
 
 
 class Counters:
-    """Driver-side counters by prop and key; a missing key reads as -1, a missing prop as -2."""
+    """Counters of the driver by prop and key, for any thread; a missing key reads as -1, a missing prop as -2.
+
+    What tasks count reaches them through ``add_all``.
+    """
 
     def __init__(self):
         self._values: dict[str, dict[str, int]] = {}
+        self._lock = threading.RLock()
 
     def increase(self, prop: str, key: str, by: int = 1) -> int:
-        series = self._values.setdefault(prop, {})
-        series[key] = series.get(key, 0) + by
-        return series[key]
+        with self._lock:
+            series = self._values.setdefault(prop, {})
+            series[key] = series.get(key, 0) + by
+            return series[key]
+
+    def add_all(self, counts: DataFrame) -> None:
+        """Add what a dataset (prop, key, n) has counted; it is as small as there are counters."""
+        for r in counts.groupBy("prop", "key").agg(F.sum("n").alias("n")).collect():
+            self.increase(r["prop"], r["key"], r["n"])
 
     def decrease(self, prop: str, key: str, by: int = 1) -> int:
         return self.increase(prop, key, -by)
 
     def set(self, prop: str, key: str, value: int) -> None:
-        self._values.setdefault(prop, {})[key] = value
+        with self._lock:
+            self._values.setdefault(prop, {})[key] = value
 
     def get(self, prop: str, key: str) -> int:
-        return self._values[prop].get(key, -1) if prop in self._values else -2
+        with self._lock:
+            return self._values[prop].get(key, -1) if prop in self._values else -2
 
     def get_and_reset(self, prop: str, key: str) -> int:
-        value = self.get(prop, key)
-        if value >= 0:
-            self._values[prop][key] = 0
-        return value
+        with self._lock:
+            value = self.get(prop, key)
+            if value >= 0:
+                self._values[prop][key] = 0
+            return value
+
+
+#: Operation codes of series queries.
+CODES: dict[str, Callable[..., DataFrame]] = {}
+
+
+def query(points: DataFrame, code: str, **arguments) -> DataFrame | None:
+    """A series query by its code: props, keys, data, data_like, sum, sum_horizon, sum_all or compute; None if there is no such or it fails."""
+    try:
+        return CODES[code](points, **arguments)
+    except Exception:
+        return None
 
 
 def streamed_totals(points: DataFrame, *, window: str = "10 minutes", slide: str | None = None, late: str = "1 minute") -> DataFrame:
@@ -110,3 +140,6 @@ def streamed_totals(points: DataFrame, *, window: str = "10 minutes", slide: str
     at = F.timestamp_millis(F.col("time"))
     rows = points.withColumn("at", at).withWatermark("at", late)
     return rows.groupBy(F.window("at", window, slide or window), "prop", "key").agg(F.sum(F.col("value").try_cast("double")).alias("value"))
+
+
+CODES |= {"props": props, "keys": keys, "data": data, "data_like": data_like, "sum": total, "sum_horizon": total, "sum_all": totals, "compute": computed}
