@@ -7,7 +7,7 @@ import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, graph, line_dedup, near_dedup
+from weftline.llm import banding, exact_dedup, graph, line_dedup, near_dedup
 from weftline.llm.minhash import superminhash
 
 WORDS = [f"w{i}" for i in range(3000)]
@@ -62,7 +62,7 @@ def test_signatures_estimate_similarity():
 
 
 def test_near_groups_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(banding, "BLOCK", 8)
     rng = random.Random(5)
     texts = ["", None, "a", "a b c", "A b  C", " "]
     for size in (5, 40, 90, 120):

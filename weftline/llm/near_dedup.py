@@ -1,16 +1,11 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on full sets, components.
 
 A document's set holds the hashes of its distinct shingles of ``width`` words. Documents with
-equal sets are one node from the start, so copies never meet in a band. Each node is compared,
-on full sets, with the smallest node of each of its bands, their hub. Of a node's links one is
-kept, to its smallest hub, and its other hubs are linked to that one: the same components from
-about two links a node. Members that are still apart from most of their band are compared with a
-member of that majority, and at last, in bands that hold several components even then, members
-of different components are compared block by block, through their signatures first, then by
-their full sets: so every pair that shares a band is linked directly or already connected. With
-32 bands of 4 rows, a pair with similarity 0.8 shares none with probability 5e-8; in blocks, a
-pair whose signatures agree in fewer slots than 5.3 standard deviations below the similarity is
-passed over, which a similar pair is with probability 1e-7.
+equal sets are one node from the start, so copies never meet in a band. Nodes that share a band
+are compared on full sets as ``banding`` has it: every pair that shares a band is linked directly
+or connected by way of others. With 32 bands of 4 rows, a pair with similarity 0.8 shares none
+with probability 5e-8; in blocks, a pair whose signatures agree in fewer slots than 5.3 standard
+deviations below the similarity is passed over, which a similar pair is with probability 1e-7.
 
 Defined cases: null and empty texts, or texts without words, have an empty set and are linked
 with nothing; a row with a null id is linked with nothing and has a null component; rows that
@@ -20,22 +15,16 @@ repeat an id are expected to repeat the text, else one of the texts stands for a
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.graph import connected_components
+from weftline.llm.banding import components_of_bands
 from weftline.llm.minhash import band_keys, superminhash
-from weftline.llm.shared import arrow_map, by_groups, drop_written, slices, unused, written
+from weftline.llm.shared import arrow_map, drop_written, slices, unused, written
 from weftline.llm.words import shingles, utf8, word_hashes
 
-#: Members of a band that are compared in one block, and the shingles that their sets may hold together.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
-
-
 def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
     hashes, ends = word_hashes(*utf8(column))
     parts, ends = shingles(hashes, ends, width)
@@ -63,135 +52,14 @@ def _described(rows: DataFrame, width: int, slots: int, band_rows: int) -> DataF
     return arrow_map(rows, describe, "id long, n long, print binary, bands array<long>, sig binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (node, hub) whose full sets satisfy 100 * intersection >= percent * union."""
-    left = texts.select(F.col("id").alias("node"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("hub"), F.col("text").alias("tb"))
-    # the hub is in many pairs: rows that share it come together after the second join
-    rows = pairs.join(left, "node").join(right, "hub").select("node", "ta", "hub", "tb")
-
-    def verify(batches):
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
-        for batch in batches:
-            for part in slices(batch, 1, 1 << 19):
-                nodes, hubs = part.column(0).to_pylist(), part.column(2).to_pylist()
-                fresh: dict[int, int] = {}
-                for k, i in enumerate(hubs):
-                    if i not in known:
-                        fresh.setdefault(i, k)
-                new = _sets(part.column(3).take(pa.array(fresh.values(), pa.int64())), width)
-                known.update(zip(fresh, new, strict=True))
-                yes = []
-                for a, b in zip(_sets(part.column(1), width), hubs, strict=True):
-                    s = known[b]
-                    both = np.intersect1d(a, s, assume_unique=True).size
-                    yes.append(100 * both >= percent * (len(a) + len(s) - both))
-                while len(known) > 64:
-                    known.popitem(last=False)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hubs, pa.int64())], names=["node", "hub"]).filter(pa.array(yes, pa.bool_()))
-
-    return arrow_map(rows, verify, "node long, hub long")
-
-
-def stars(links: DataFrame) -> DataFrame:
-    """(node, hub): links with the same components, one a node, to its smallest hub, and one from each of its other hubs to that.
-
-    A node has as many hubs as bands at most.
-    """
-    least = links.groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs"))
-    between = least.select(F.explode("hubs").alias("node"), F.col("least").alias("hub")).filter("node <> hub").distinct()
-    return least.select("node", F.col("least").alias("hub")).unionByName(between)
-
-
-def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their labels, and the bands that hold several labels.
+def similar_sets(percent: int):
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
+        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+            return False
+        both = np.intersect1d(a, b, assume_unique=True).size
+        return bool(100 * both >= percent * (len(a) + len(b) - both))
 
-    Such a band comes with its most frequent label, a member of it, the numbers of members with
-    that label and with others, and the shingles of both kinds.
-    """
-    now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    some = F.min_by("node", F.xxhash64("node", "key")).alias("some")
-    shares = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), some)
-    bands = shares.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "label", "some", "shingles")).alias("m"))
-    several = bands.filter("labels > 1").select(
-        "key", F.col("m.label").alias("major"), F.col("m.some").alias("some"), F.col("m.n").alias("n_major"), F.col("m.shingles").alias("s_major"),
-        (F.col("n") - F.col("m.n")).alias("n_minor"), (F.col("shingles") - F.col("m.shingles")).alias("s_minor"),
-    )
-    return now, written(several, "mixed")
-
-
-def _links_of_blocks(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, slots: int, width: int, percent: int) -> DataFrame:
-    """(node, hub): links between members of a band that have different labels, as far as they connect labels.
-
-    ``mixed`` has the members of the bands of ``_mixed``. Those with the most frequent label are
-    connected already, so only the others need comparing, with each other and with these. Both
-    kinds are cut into chunks of about ``BLOCK`` members, fewer if their sets are large; a chunk
-    of others and any chunk form a block. So a band in which most are connected costs little more
-    than its members. A pair belongs to the first band it shares. Where the signatures allow the
-    similarity, the block's row of a member lists its partners, and the full sets are compared
-    when the block's members are brought together with their texts: no task holds a band, and
-    pairs that are no links never become rows.
-    """
-    share = percent / 100
-    least = int((share - 5.3 * (share * (1 - share) / slots) ** 0.5) * slots)
-    chunks_of = lambda n, shingles: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("long")
-    few, many, is_major = chunks_of("n_minor", "s_minor"), chunks_of("n_major", "s_major"), F.col("label") == F.col("major")
-    place = F.xxhash64("node", "key")
-    rows = mixed.withColumn("chunk", F.when(is_major, few + F.pmod(place, many)).otherwise(F.pmod(place, few)))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_major, few).otherwise(few + many) - 1)))
-    rows = rows.select("key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "label")
-    rows = rows.join(nodes.select(F.col("id").alias("node"), "sig", "bands"), "node")
-
-    def list_partners(table: pa.Table) -> pa.Table | None:
-        n = table.num_rows
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, slots)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)
-        node, label, chunk = (table.column(c).to_numpy() for c in ("node", "label", "chunk"))
-        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
-        band = int(np.flatnonzero(bands[0] == key)[0])
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        partners: dict[int, list[int]] = {}
-        for x in left.tolist():
-            hit = right[(label[right] != label[x]) & ((sig[right] == sig[x]).sum(axis=1) >= least)]
-            if i == j:
-                hit = hit[node[hit] > node[x]]
-            hit = hit[~(bands[hit, :band] == bands[x, :band]).any(axis=1)]
-            if len(hit):
-                partners.setdefault(x, []).extend(node[hit].tolist())
-                for y in hit.tolist():
-                    partners.setdefault(y, [])
-        if not partners:
-            return None
-        at = list(partners)
-        return pa.table({"block": pa.array([f"{key}.{i}.{j}"] * len(at), pa.string()), "node": pa.array(node[at], pa.int64()), "label": pa.array(label[at], pa.int64()), "partners": pa.array(list(partners.values()), pa.list_(pa.int64()))})
-
-    def compare(table: pa.Table) -> pa.Table | None:
-        node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
-        sets = {}
-        for batch in table.select(["node", "text"]).combine_chunks().to_batches():
-            for part in slices(batch, 1, 1 << 19):
-                sets.update(zip(part.column(0).to_pylist(), _sets(part.column(1), width), strict=True))
-        of, top = dict(zip(node, label, strict=True)), {x: x for x in label}
-
-        def root(x):
-            while top[x] != x:
-                top[x] = x = top[top[x]]
-            return x
-
-        a, b = [], []
-        for x, others in zip(node, table.column("partners").to_pylist(), strict=True):
-            for y in others:
-                p, q, rx, ry = sets[x], sets[y], root(of[x]), root(of[y])
-                if rx != ry and 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                    both = np.intersect1d(p, q, assume_unique=True).size
-                    if 100 * both >= percent * (len(p) + len(q) - both):
-                        top[rx] = ry
-                        a.append(x)
-                        b.append(y)
-        return pa.table({"node": pa.array(a, pa.int64()), "hub": pa.array(b, pa.int64())}) if a else None
-
-    listed = by_groups(rows, ["key", "i", "j"], list_partners, "block string, node long, label long, partners array<long>")
-    return by_groups(listed.join(texts.withColumnRenamed("id", "node"), "node"), ["block"], compare, "node long, hub long")
+    return similar
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 4) -> DataFrame:
@@ -206,27 +74,16 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     sets = written(_described(rows, width, slots, band_rows), "sets")
     usable = sets.filter("n > 0 and id is not null")
     classes = written(usable.groupBy("print").agg(F.min("id").alias("node")), "classes")
-    nodes = written(usable.join(classes, "print").filter("id = node").dropDuplicates(["id"]).select("id", "n", "bands", "sig"), "nodes")
-    banded = nodes.select(F.col("id").alias("node"), F.col("n").alias("size"), F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).filter("c > 1").select("key", "hub")
+    nodes = written(usable.join(classes, "print").filter("id = node").dropDuplicates(["id"]).select("node", "n", "bands", "sig"), "nodes")
+    banded = nodes.select("node", F.col("n").alias("size"), F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     members = written(banded.join(shared, "key"), "members")
-    texts = written(rows.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-
-    links = written(stars(_verified(members.filter("node <> hub").select("node", "hub").distinct(), texts, width, percent)), "links")
-    labels = connected_components(links, "node", "hub")
-    now, several = _mixed(members, labels)
-    apart = now.join(several, "key").filter("label <> major").select("node", F.col("some").alias("hub")).distinct()
-    more = written(stars(_verified(apart, texts, width, percent)), "links")
-    if more.limit(1).count():
-        drop_written(labels, several)
-        links = links.unionByName(more)
-        labels = connected_components(links, "node", "hub")
-        now, several = _mixed(members, labels)
-    last = written(_links_of_blocks(now.join(several, "key"), nodes, texts, slots, width, percent), "links")
-    if last.limit(1).count():
-        drop_written(labels)
-        labels = connected_components(links.unionByName(last), "node", "hub")
-    drop_written(links, more, last, members, several, texts, nodes)
+    texts = rows.select(F.col("id").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = written(texts.dropDuplicates(["node"]), "texts")
+    share = percent / 100
+    least = int((share - 5.3 * (share * (1 - share) / slots) ** 0.5) * slots)
+    labels = components_of_bands(members, nodes, texts, least, lambda column: _sets(column, width), similar_sets(percent))
+    drop_written(members, texts, nodes)
     tops = written(classes.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component_id")), "tops")
     drop_written(classes, labels)
     linked = usable.select("id", "n", "print").join(tops, "print").select("id", "n", "component_id")
