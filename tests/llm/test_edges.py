@@ -18,6 +18,7 @@ ROWS = [
     (7, "ünïcödé 漢字 😀 ​ end", "x", "y"),
 ]
 DDL = "doc_id long, text string, _text string, label string"
+CLASH = "doc_id long, text string, _gone string, _dropped string, _i string, _id string, node long, key long, label string"
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +103,12 @@ def test_pipeline_stages_on_edges(spark, frames, tmp_path):
             if name != "packing":
                 assert docs.columns == df.columns
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("drop", [near_dedup.drop_near, line_dedup.drop_lines, exact_dedup.drop_exact])
+def test_clashing_names(drop, spark):
+    rows = [(k, t, "g", "d", "i", "x", 1, 2, None) for k, t in enumerate(["one two three four five six", "one two three four five six", None, "other words"])]
+    df = spark.createDataFrame(rows, CLASH)
+    out = drop(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect() if r.text) == ([0, 3] if drop is not line_dedup.drop_lines else [0, 3])
+    assert out.filter("_gone = 'g' and _dropped = 'd'").count() == out.count()

@@ -1,14 +1,15 @@
 import random
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
 from weftline.llm import banding, exact_dedup, graph, line_dedup, near_dedup
 from weftline.llm.minhash import superminhash
+from weftline.llm.words import utf8, word_hashes
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -85,11 +86,6 @@ def test_near_groups_equal_brute_force(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
-def hash64(spark, words):
-    df = spark.createDataFrame([(w,) for w in words], "w string")
-    return {r.w: r.h & (2**64 - 1) for r in df.select("w", F.xxhash64("w").alias("h")).collect()}
-
-
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -117,14 +113,7 @@ def lined():
 def test_line_groups_equal_brute_force(spark, lined):
     norm = lambda line: " ".join(line.lower().split())
     lines = {norm(x) for _, t in lined if t for x in t.split("\n")} - {""}
-    hashes = hash64(spark, {w for line in lines for w in line.split()})
-
-    def simhash(line):
-        counts = Counter(b for w in line.split() for b in range(64) if hashes[w] >> b & 1)
-        return sum(1 << b for b, n in counts.items() if 2 * n > len(line.split()))
-
-    sims = {line: simhash(line) for line in lines}
-    links = [(a, b) for a, b in combinations(sorted(lines), 2) if (sims[a] ^ sims[b]).bit_count() <= 2 and edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)]
+    links = [(a, b) for a, b in combinations(sorted(lines), 2) if edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)]
     assert links
     label = components(lines, links)
     first = {}
@@ -154,20 +143,61 @@ def test_line_groups_equal_brute_force(spark, lined):
 
 def test_lines_are_linked_by_edit_similarity_alone(spark):
     rng = random.Random(8)
-    rows, n = [], 0
-    for size in (6, 10, 20, 30, 60):
-        for _ in range(20):
-            words = [rng.choice(WORDS) for _ in range(size)]
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    pairs = []
+    for size in (5, 12, 40, 100):
+        while sum(p[0] == size for p in pairs) < 25:
+            words = [rng.choice(vocabulary) for _ in range(size)]
             other = list(words)
-            for k in rng.sample(range(size), size // 6 if size > 6 else 1):
-                other[k] = rng.choice(WORDS)
-            if edits(" ".join(words), " ".join(other)) <= int(max(len(" ".join(words)), len(" ".join(other))) * 0.2 + 1e-9):
-                n += 1
-                rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
-    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
-    rows += [(1000, long), (1001, long[:150] + "0" + long[151:]), (1002, "abcdefgh"), (1003, "abcdefgx"), (1004, "abcdxxxx")]
+            other[rng.randrange(size)] = rng.choice(vocabulary)
+            a, b = " ".join(words), " ".join(other)
+            if a != b and edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+                pairs.append((size, a, b))
+    rows = [(2 * k + side, p[1 + side]) for k, p in enumerate(pairs) for side in (0, 1)]
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    rows += [(1000, long), (1001, long[:1500] + "0" + long[1501:]), (1002, "abcdefgh"), (1003, "abcdefgx"), (1004, "abcdxxxx"), (1005, "A"), (1006, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.n_kept for r in line_dedup.dropped_lines(docs, max_bits=None).collect()}
-    assert all(got[2 * k] == 1 for k in range(1, n + 1)) and n >= 80
-    assert sum(got[2 * k + 1] == 0 for k in range(1, n + 1)) >= 0.95 * n
-    assert (got[1001], got[1003], got[1004]) == (0, 0, 1)
+    got = {r.doc_id: r.n_kept for r in line_dedup.dropped_lines(docs).collect()}
+    assert all(got[2 * k] == 1 for k in range(len(pairs)))
+    for size in (5, 12, 40, 100):
+        found = [got[2 * k + 1] == 0 for k, p in enumerate(pairs) if p[0] == size]
+        assert sum(found) >= 0.9 * len(found), size
+    assert (got[1001], got[1003], got[1004], got[1005], got[1006]) == (0, 0, 1, 1, 1)
+
+
+def test_edit_distance_of_lines_equals_brute_force():
+    rng = random.Random(1)
+    for _ in range(1500):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        d, k = edits(a, b), rng.randint(0, 8)
+        assert line_dedup._distance(a, b, k) == (d if d <= k else None)
+    for _ in range(6):  # long enough for anchors
+        a = "".join(rng.choice("abcdefgh") for _ in range(1500))
+        b = "".join(rng.choice(["", "x", c, c, c, c, c, c, c, c, c, c, c + "y"]) for c in a)
+        d = edits(a, b)
+        assert d <= line_dedup._distance(a, b, d + 60) <= d + 60 and line_dedup._distance(a, b, d - 1) is None
+
+
+def test_simhashes_equal_brute_force():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (1, 2, 255, 256, 600, 3)] + [""]
+    words, ends = word_hashes(*utf8(pa.array(texts)))
+    for k, got in enumerate(line_dedup._simhashes(words, ends).tolist()):
+        mine = words[ends[k] : ends[k + 1]].tolist()
+        assert got == sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in mine) > len(mine))
+
+
+def test_keys_that_runs_repeat_are_found_across_runs(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RUN_LINES", 3)
+    rng = random.Random(5)
+    lines = [" ".join(rng.choice(WORDS[:40]) for _ in range(3)) for _ in range(60)]
+    nodes = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "node long, norm string").repartition(3)
+    keys, has, _ = line_dedup.described(pa.array(lines))
+    by_key = {}
+    for i in range(len(lines)):
+        for k in range(keys.shape[1]):
+            if has[i, k]:
+                by_key.setdefault(int(keys[i, k]), set()).add(i)
+    want = {(k, i) for k, members in by_key.items() if len(members) > 1 for i in members}
+    got = [tuple(r) for r in line_dedup.shared_keys(nodes, 4).collect()]
+    assert set(got) == want and len(got) == len(want) > 0
