@@ -332,3 +332,24 @@ def test_a_full_format_gets_longer_surrogates(spark):
     family = got[99].split()[1]
     assert got[99].split()[4] == family != "Ng" and not re.search("Bob|Jones|Priya|Patel", got[99]) and got[99].startswith("Ms ")
     assert surrogates.longer("ssn", "123-45-6789", b"k", 1) != surrogates.longer("ssn", "123-45-6780", b"k", 1)
+
+
+def test_matches_equal_a_search_by_edit_distance_of_every_item_in_every_text():
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(300)]
+    fill = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [fill(rng.choice([3, 5, 8, 11, 14, 22, 35, 50])) for _ in range(40)]
+    texts = [fill(rng.randint(0, 60)) for _ in range(20)]
+    for words in items:
+        for share in (0.05, 0.1, 0.2, 0.25):
+            texts.append([*fill(rng.randint(0, 30)), *edited(rng, words, round(len(words) * share)), *fill(rng.randint(0, 30))])
+    index = ItemIndex([(i, hashed(" ".join(w))[0]) for i, w in enumerate(items)])
+    for t in texts:
+        words, ends = hashed(" ".join(t))
+        want = {}
+        for i, own in index.items:
+            edits, _ = edit_distance_within(own, words)
+            if edits <= int(0.2 * len(own)):
+                want[i] = edits
+        got = {m[1]: m[2] for m in index.matches(words, ends)}
+        assert set(got) == set(want) and all(got[i] >= want[i] for i in want)

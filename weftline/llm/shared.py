@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
+_LEFT: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
+    """A path of its own in the shared folder; what is there when the driver ends is deleted then."""
+    path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
+    if not _LEFT:
+        atexit.register(_clear)
+    _LEFT.append((spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark._jsparkSession.sessionState().newHadoopConf()))
+    return path
+
+
+def _clear() -> None:
+    for path, conf in _LEFT:
+        try:
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # the JVM is gone
+            return
 
 
 def fresh_uri(spark: SparkSession, name: str) -> str:
