@@ -41,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             named = Path(named).as_uri()
         else:
             named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.weftline"
+            if named.startswith(("file:", "/")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
