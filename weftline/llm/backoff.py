@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import arrow_map, drop_folder, drop_written, fresh_uri, partitions_for, slices, written
+from weftline.llm.shared import arrow_map, drop_folder, drop_written, fresh_uri, partitions_for, settle, slices, written
 from weftline.llm.words import mix, utf8, word_hashes
 
 _U = np.uint64
@@ -150,7 +150,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         name = f"{path}/.{part}.{run}.{uuid.uuid4().hex}"
         with fs.open_output_stream(name) as f:
             f.write(out.getvalue())
-        fs.move(name, f"{path}/{part}.{run}.arrow")
+        settle(fs, name, f"{path}/{part}.{run}.arrow")
         return pa.table({"part": pa.array([part], pa.int32())})
 
     counted.groupBy("part", "run").applyInArrow(store, "part int").count()

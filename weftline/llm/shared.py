@@ -182,6 +182,18 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.Re
         at = to
 
 
+def settle(fs, part: str, name: str) -> None:
+    """Give a whole file its name. If another attempt of the task has done so, its file is the same and stays."""
+    import pyarrow.fs
+
+    try:
+        fs.move(part, name)
+    except OSError:
+        if fs.get_file_info(name).type != pyarrow.fs.FileType.File:
+            raise
+        fs.delete_file(part)
+
+
 def partitions_for(df: DataFrame, each_bytes: int) -> int:
     """How many partitions of about ``each_bytes`` hold what ``df`` reads; at least the session's.
 

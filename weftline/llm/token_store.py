@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import arrow_map, partitions_for, slices
+from weftline.llm.shared import arrow_map, partitions_for, settle, slices
 from weftline.llm.tokens import tokenizer
 
 MAGIC = b"WLPLANE1"
@@ -172,7 +172,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, *, id_col: str = "do
                         writer.add(doc_id, np.frombuffer(ids + tail, "<u4"))
             writer.close()
         if writer.doc_ids:
-            fs.move(part, f"{folder}/{name}")
+            settle(fs, part, f"{folder}/{name}")
             yield pa.RecordBatch.from_pylist([{"shard": shard, "file": name, "docs": len(writer.doc_ids), "ids": writer.n_ids}])
         else:
             fs.delete_file(part)
@@ -184,6 +184,9 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, *, id_col: str = "do
         docs, ids = docs + e["docs"], ids + e["ids"]
     fs, folder = _open(path)
     fs.create_dir(folder, recursive=True)
+    for left in fs.get_file_info(pyarrow.fs.FileSelector(folder)):  # of attempts that died
+        if left.base_name.startswith("."):
+            fs.delete_file(left.path)
     with fs.open_output_stream(f"{folder}/index.json") as out:
         out.write(json.dumps({"format": MAGIC.decode(), "documents": docs, "ids": ids, "shards": entries}).encode())
     return entries
