@@ -112,3 +112,11 @@ def test_clashing_names(drop, spark):
     out = drop(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect() if r.text) == ([0, 3] if drop is not line_dedup.drop_lines else [0, 3])
     assert out.filter("_gone = 'g' and _dropped = 'd'").count() == out.count()
+
+
+def test_rows_that_repeat_an_id_with_other_texts_keep_their_own_groups(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    df = spark.createDataFrame([(5, a), (5, b), (3, a), (9, b), (9, b), (5, "third text of that number")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (9, 5, False), (9, 5, False)]
+    assert sorted((r.doc_id, r.text) for r in near_dedup.drop_near(df).collect()) == sorted([(3, a), (5, b), (5, "third text of that number")])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import banding, exact_dedup, graph, line_dedup, near_dedup
 from weftline.llm.minhash import superminhash
-from weftline.llm.words import utf8, word_hashes
+from weftline.llm.words import mix
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -179,12 +179,10 @@ def test_edit_distance_of_lines_equals_brute_force():
 
 
 def test_simhashes_equal_brute_force():
-    rng = random.Random(4)
-    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (1, 2, 255, 256, 600, 3)] + [""]
-    words, ends = word_hashes(*utf8(pa.array(texts)))
-    for k, got in enumerate(line_dedup._simhashes(words, ends).tolist()):
-        mine = words[ends[k] : ends[k + 1]].tolist()
-        assert got == sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in mine) > len(mine))
+    features = np.random.default_rng(4).integers(0, 2**63, (50, 64)).astype(np.uint64)
+    hashes = mix(features + np.uint64(0x9E3779B97F4A7C15)).tolist()
+    for row, got in zip(hashes, line_dedup._simhashes(features).tolist(), strict=True):
+        assert got == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in row) > 64)
 
 
 def test_keys_that_runs_repeat_are_found_across_runs(spark, monkeypatch):
@@ -199,5 +197,5 @@ def test_keys_that_runs_repeat_are_found_across_runs(spark, monkeypatch):
             if has[i, k]:
                 by_key.setdefault(int(keys[i, k]), set()).add(i)
     want = {(k, i) for k, members in by_key.items() if len(members) > 1 for i in members}
-    got = [tuple(r) for r in line_dedup.shared_keys(nodes, 4).collect()]
+    got = [(r.key, r.node) for r in line_dedup.shared_keys(nodes, 4).collect()]
     assert set(got) == want and len(got) == len(want) > 0

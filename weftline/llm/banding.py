@@ -26,9 +26,11 @@ from weftline.llm.shared import arrow_map, by_groups, drop_written, slices, writ
 #: Texts of a column as what ``Similar`` compares, and the comparison.
 Prepare = Callable[[pa.Array], list[Any]]
 Similar = Callable[[Any, Any], bool]
+#: node, bands (its keys, in order) and sig of the nodes of a table (node).
+Sign = Callable[[DataFrame], DataFrame]
 
 #: Members of a band that are compared in one block, and the shingles that their sets may hold together.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, prepare: Prepare, similar: Similar) -> DataFrame:
@@ -57,13 +59,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, prepare: Prepare, similar: Sim
 
 
 def stars(links: DataFrame) -> DataFrame:
-    """(node, hub): links with the same components, one a node, to its smallest hub, and one from each of its other hubs to that.
+    """(node, hub), stored: links with the same components, one a node, to its smallest hub, and one from each of its other hubs to that.
 
     A node has as many hubs as bands at most.
     """
-    least = links.groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs"))
+    least = written(links.groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")), "least")
     between = least.select(F.explode("hubs").alias("node"), F.col("least").alias("hub")).filter("node <> hub").distinct()
-    return least.select("node", F.col("least").alias("hub")).unionByName(between)
+    out = written(least.select("node", F.col("least").alias("hub")).unionByName(between), "links")
+    drop_written(least)
+    return out
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +87,7 @@ def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]
     return now, written(several, "mixed")
 
 
-def _links_of_blocks(mixed: DataFrame, signed: DataFrame, texts: DataFrame, least: int, prepare: Prepare, similar: Similar) -> DataFrame:
+def _links_of_blocks(mixed: DataFrame, sign: Sign, texts: DataFrame, least: int, prepare: Prepare, similar: Similar) -> DataFrame:
     """(node, hub): links between members of a band that have different labels, as far as they connect labels.
 
     ``mixed`` has the members of the bands of ``_mixed``. Those with the most frequent label are
@@ -101,7 +105,7 @@ def _links_of_blocks(mixed: DataFrame, signed: DataFrame, texts: DataFrame, leas
     rows = mixed.withColumn("chunk", F.when(is_major, few + F.pmod(place, many)).otherwise(F.pmod(place, few)))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_major, few).otherwise(few + many) - 1)))
     rows = rows.select("key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "label")
-    rows = rows.join(signed.select("node", "sig", "bands"), "node")
+    rows = rows.join(sign(rows.select("node").distinct()).select("node", "sig", "bands"), "node")
 
     def list_partners(table: pa.Table) -> pa.Table | None:
         n = table.num_rows
@@ -153,27 +157,26 @@ def _links_of_blocks(mixed: DataFrame, signed: DataFrame, texts: DataFrame, leas
     return by_groups(listed.join(texts, "node"), ["block"], compare, "node long, hub long")
 
 
-def components_of_bands(members: DataFrame, signed: DataFrame, texts: DataFrame, least: int, prepare: Prepare, similar: Similar) -> DataFrame:
+def components_of_bands(members: DataFrame, sign: Sign, texts: DataFrame, least: int, prepare: Prepare, similar: Similar) -> DataFrame:
     """(node, label) of the nodes with a link; the label is the smallest node of the component. A stored table.
 
     ``members`` has key, node and size (what the text weighs in a block), without repeats and
-    only keys with several nodes; ``signed`` node, bands (its keys, in order) and sig; ``texts``
-    node and text. Signatures decide in blocks only.
+    only keys with several nodes; ``texts`` node and text. Signatures decide in blocks only.
     """
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
     pairs = members.join(hubs, "key").filter("node <> hub").select("node", "hub").distinct()
-    links = written(stars(_verified(pairs, texts, prepare, similar)), "links")
+    links = stars(_verified(pairs, texts, prepare, similar))
     labels = connected_components(links, "node", "hub")
     now, several = _mixed(members, labels)
     apart = now.join(several, "key").filter("label <> major").select("node", F.col("some").alias("hub")).distinct()
-    more = written(stars(_verified(apart, texts, prepare, similar)), "links")
+    more = stars(_verified(apart, texts, prepare, similar))
     used = [links, more]
     if more.limit(1).count():
         drop_written(labels, several)
         links = links.unionByName(more)
         labels = connected_components(links, "node", "hub")
         now, several = _mixed(members, labels)
-    last = written(_links_of_blocks(now.join(several, "key"), signed, texts, least, prepare, similar), "links")
+    last = written(_links_of_blocks(now.join(several, "key"), sign, texts, least, prepare, similar), "links")
     if last.limit(1).count():
         drop_written(labels)
         labels = connected_components(links.unionByName(last), "node", "hub")
