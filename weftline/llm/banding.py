@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.graph import connected_components
-from weftline.llm.shared import arrow_map, by_groups, drop_written, slices, written
+from weftline.llm.shared import arrow_map, by_groups, drop_written, release, slices, written
 
 #: Texts of a column as what ``Similar`` compares, and the comparison.
 Prepare = Callable[[pa.Array], list[Any]]
@@ -67,6 +67,7 @@ def stars(links: DataFrame) -> DataFrame:
     between = least.select(F.explode("hubs").alias("node"), F.col("least").alias("hub")).filter("node <> hub").distinct()
     out = written(least.select("node", F.col("least").alias("hub")).unionByName(between), "links")
     drop_written(least)
+    release(out.sparkSession)
     return out
 
 
@@ -157,18 +158,20 @@ def _links_of_blocks(mixed: DataFrame, sign: Sign, texts: DataFrame, least: int,
     return by_groups(listed.join(texts, "node"), ["block"], compare, "node long, hub long")
 
 
-def components_of_bands(members: DataFrame, sign: Sign, texts: DataFrame, least: int, prepare: Prepare, similar: Similar) -> DataFrame:
+def components_of_bands(members: DataFrame, sign: Sign, texts: DataFrame, least: int, prepare: Prepare, similar: Similar, majority_from: int = 0) -> DataFrame:
     """(node, label) of the nodes with a link; the label is the smallest node of the component. A stored table.
 
     ``members`` has key, node and size (what the text weighs in a block), without repeats and
-    only keys with several nodes; ``texts`` node and text. Signatures decide in blocks only.
+    only keys with several nodes; ``texts`` node and text. Signatures decide in blocks only. Bands
+    with fewer members than ``majority_from`` go to blocks at once.
     """
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
     pairs = members.join(hubs, "key").filter("node <> hub").select("node", "hub").distinct()
     links = stars(_verified(pairs, texts, prepare, similar))
     labels = connected_components(links, "node", "hub")
     now, several = _mixed(members, labels)
-    apart = now.join(several, "key").filter("label <> major").select("node", F.col("some").alias("hub")).distinct()
+    wide = several.filter(F.col("n_major") + F.col("n_minor") >= majority_from)
+    apart = now.join(wide, "key").filter("label <> major").select("node", F.col("some").alias("hub")).distinct()
     more = stars(_verified(apart, texts, prepare, similar))
     used = [links, more]
     if more.limit(1).count():

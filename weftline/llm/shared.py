@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -70,7 +71,7 @@ def fresh_uri(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder; its lineage ends there."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -87,6 +88,12 @@ def drop_written(*tables: DataFrame) -> None:
             drop_folder(df.sparkSession, folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished plans now, so that Spark deletes their shuffle files on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, whatever the driver's import path."""
     sc = spark.sparkContext
