@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from weftline.functions.reducers import Reducer, reducer
 
 IDX, V, ROW = "idx", "v", "row"
-#: Columns that are aggregated one by one in a row; wider rows are exploded into cells.
-WIDEST = 200
+#: Columns that are aggregated one by one in a row; wider rows, whose aggregates go beyond generated code, are exploded into cells.
+WIDEST = 32
 
 
 def element_aggregates(array: str, width: int, how: Callable[[Column], Column]) -> Column:

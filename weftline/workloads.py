@@ -412,7 +412,11 @@ def cleansed_regression(spark, d):
     readers.write(table(spark, d, "lineitem").select(line.alias("value")), path, "text")
     lines = Dataset.text(spark, path).df.select(parsing.numeric_fields(F.col("value"), drop=3, drop_right=6).alias("f")).filter("f is not null")
     rows = lines.select(F.array(F.col("f")[0] / 50, F.col("f")[1], F.col("f")[2], F.lit(1.0)).alias("x"), (F.col("f")[3] > 30000).cast("double").alias("y"))
-    return _weights(spark, iterative.logistic_regression(rows, [0.0] * 4, rate=1.0, iterations=_STEPS))
+    kept = actions.cached(rows)
+    try:
+        return _weights(spark, iterative.logistic_regression(kept, [0.0] * 4, rate=1.0, iterations=_STEPS))
+    finally:
+        kept.unpersist()
 
 
 # provenance and series
