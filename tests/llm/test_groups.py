@@ -199,3 +199,35 @@ def test_keys_that_runs_repeat_are_found_across_runs(spark, monkeypatch):
     want = {(k, i) for k, members in by_key.items() if len(members) > 1 for i in members}
     got = [(r.key, r.node) for r in line_dedup.shared_keys(nodes, 4).collect()]
     assert set(got) == want and len(got) == len(want) > 0
+
+
+def test_lines_that_may_not_link_are_sifted_out(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcdeé日 ") for _ in range(rng.choice([1, 4, 9, 30])))
+        b = "".join(rng.choice(["", "x", c, c, c, c, c, c + "ö"]) for c in a) if rng.random() < 0.7 else "".join(rng.choice("vwxyz") for _ in a)
+        pairs.append((a, b) if len(a) <= len(b) else (b, a))
+    pairs += [("e" * 900, "e" * 899 + "x"), ("e" * 300, "e" * 900)]  # counts beyond a byte
+    a, b = (line_dedup.sketches(pa.array([p[k] for p in pairs], pa.string())) for k in (0, 1))
+    yes = line_dedup.may_link(a, b, 0.8)
+    links = [edits(*p) <= int(max(map(len, p)) * 0.2 + 1e-9) for p in pairs]
+    assert line_dedup.similar_lines(0.8)(pairs) == links
+    assert 0 < sum(links) <= yes.sum() < len(pairs) and all(y for y, link in zip(yes, links, strict=True) if link)
+    # bands of two are done with their hub: none of them goes to blocks; before, each did
+    sent = []
+    blocks = banding._links_of_blocks
+    monkeypatch.setattr(banding, "_links_of_blocks", lambda mixed, *rest: (sent.append(mixed.count()), blocks(mixed, *rest))[1])
+    words = [" ".join(rng.choice(WORDS) for _ in range(20)) for _ in range(30)]
+    rows = [line for w in words for line in (w + " " + " ".join(rng.choice(WORDS) for _ in range(20)), w)]
+    line_dedup.line_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).count()
+    assert sent == [0]
+
+
+def test_lengths_cut_bands_where_no_link_crosses(spark):
+    line = " ".join(WORDS[:40])
+    nodes = spark.createDataFrame([(0, line), (1, line + " " + line), (2, line + " " + WORDS[60])], "node long, norm string").repartition(3, "node")
+    whole = {(r.key, r.node) for r in line_dedup.shared_keys(nodes, 2).collect()}
+    cut = [(r.key, r.node) for r in line_dedup.shared_keys(nodes, 2, 0.8).collect()]
+    assert len(cut) == len(set(cut)) and {n for _, n in whole} == {0, 1, 2}
+    assert 0 < len(cut) < len(whole)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.banding import components_of_bands
+from weftline.llm.banding import agree, components_of_bands
 from weftline.llm.minhash import band_keys, superminhash
 from weftline.llm.shared import arrow_map, drop_written, slices, unused, written
 from weftline.llm.words import shingles, utf8, word_hashes
@@ -81,7 +81,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, width: int, percent: int
     texts = written(rows.join(wanted, ["id", "copy"]).select("node", "text").dropDuplicates(["node"]), "texts")
     share = percent / 100
     least = int((share - 5.3 * (share * (1 - share) / slots) ** 0.5) * slots)
-    labels = components_of_bands(members, lambda some: nodes.join(some, "node"), texts, least, lambda column: _sets(column, width), similar_sets(percent))
+    labels = components_of_bands(members, lambda some: nodes.join(some, "node"), texts, agree(least), lambda column: _sets(column, width), similar_sets(percent))
     drop_written(members, texts, nodes)
     tops = classes.join(labels, "node", "left").select("print", "id", F.coalesce("label", "node").alias("label"))
     smallest = tops.groupBy("label").agg(F.min("id").alias("component_id"))
