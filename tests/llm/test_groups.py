@@ -226,8 +226,20 @@ def test_lines_that_may_not_link_are_sifted_out(spark, monkeypatch):
 
 def test_lengths_cut_bands_where_no_link_crosses(spark):
     line = " ".join(WORDS[:40])
-    nodes = spark.createDataFrame([(0, line), (1, line + " " + line), (2, line + " " + WORDS[60])], "node long, norm string").repartition(3, "node")
+    rows = [(0, line), (1, line + " " + line), (2, line + " " + WORDS[60])]
+    nodes = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "node long, norm string")  # a run each
     whole = {(r.key, r.node) for r in line_dedup.shared_keys(nodes, 2).collect()}
     cut = [(r.key, r.node) for r in line_dedup.shared_keys(nodes, 2, 0.8).collect()]
     assert len(cut) == len(set(cut)) and {n for _, n in whole} == {0, 1, 2}
     assert 0 < len(cut) < len(whole)
+
+
+def test_no_lines_are_shuffled_to_mark_what_is_repeated(spark, monkeypatch):
+    plans = {}
+    write = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    docs = spark.createDataFrame([(1, "a line that is here"), (2, "a line that is here"), (3, "a line that is her")], "doc_id long, text string")
+    assert {r.doc_id: r.n_kept for r in line_dedup.dropped_lines(docs).collect()} == {1: 1, 2: 0, 3: 0}
+    joined = plans["repeated"].split("Join", 1)[1]
+    # the only mention of the text above the scan is the projection to its print
+    assert all("md5" in x or "Relation" in x or "isnotnull" in x for x in joined.splitlines() if "norm#" in x)
