@@ -243,3 +243,48 @@ def test_no_lines_are_shuffled_to_mark_what_is_repeated(spark, monkeypatch):
     joined = plans["repeated"].split("Join", 1)[1]
     # the only mention of the text above the scan is the projection to its print
     assert all("md5" in x or "Relation" in x or "isnotnull" in x for x in joined.splitlines() if "norm#" in x)
+
+
+def test_distances_of_many_pairs_equal_brute_force():
+    rng = random.Random(9)
+    for letters, size in (("ab", 70), ("abcdefgh ", 140), ("aé日😀bc", 60)):
+        pairs, limits = [], []
+        while len(pairs) < 150:
+            a = "".join(rng.choice(letters) for _ in range(rng.randint(size // 2, size)))
+            edit = rng.choice([0.02, 0.1, 0.2, 0.6])
+            b = "".join(rng.choice(["", "x", c + "y"]) if rng.random() < edit else c for c in a)
+            x, y = sorted((a, b), key=len)
+            limit = rng.choice([len(y) // 5, len(y) // 8])
+            if x and len(y) - len(x) <= limit:
+                pairs.append((x, y))
+                limits.append(limit)
+        want = [edits(x, y) <= limit for (x, y), limit in zip(pairs, limits, strict=True)]
+        assert 0 < sum(want) < len(want) and line_dedup._within(pairs, limits) == want
+        assert line_dedup._rows_within(pairs, np.array(limits)).tolist() == want
+
+
+def test_components_are_not_walked_again_for_further_links(spark, monkeypatch):
+    walked = []
+    walk = banding.connected_components
+    monkeypatch.setattr(banding, "connected_components", lambda edges, *ends: (walked.append(edges.count()), walk(edges, *ends))[1])
+    chain = [(i, i + 1) for i in range(1, 20)] + [(30, 31), (40, 41)]
+    labels = banding.connected_components(spark.createDataFrame(chain, "node long, hub long"), "node", "hub")
+    more = [(31, 15), (50, 51), (51, 41), (2, 3)]
+    got = {r.node: r.label for r in banding._joined(labels, spark.createDataFrame(more, "node long, hub long")).collect()}
+    assert got == components({x for e in chain + more for x in e}, chain + more) and walked == [len(chain), len(more)]
+
+
+def test_neither_lines_nor_keys_are_stored_when_links_are_sought(spark, monkeypatch):
+    stored, held = [], []
+    write, seek = line_dedup.written, line_dedup.components_of_bands
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: (stored.append(name), write(df, name))[1])
+    monkeypatch.setattr(line_dedup, "components_of_bands", lambda *rest: (held.extend(p.name for p in folder.iterdir() if p.name not in before), seek(*rest))[1])
+    from pathlib import Path
+
+    from weftline.llm.shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    before = {p.name for p in folder.iterdir()}
+    docs = spark.createDataFrame([(1, "a line that is here"), (2, "a line that is here"), (3, "a line that is her")], "doc_id long, text string")
+    assert {r.doc_id: r.n_kept for r in line_dedup.dropped_lines(docs).collect()} == {1: 1, 2: 0, 3: 0}
+    assert "keys" not in stored and held and not any("-lines-" in n for n in held)
