@@ -105,3 +105,21 @@ def test_packer_fills_gaps_from_shorter_tiers():
         windows.setdefault(r[5], []).append(r)
     assert sum(r[2] for r in p.rows) == 52
     assert all(sum(r[2] for r in w) in (1, 2, 4, 8, 16) for w in windows.values())
+
+
+def test_pieces_are_learned_together_without_marks_between_them(tok):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeéĠßж漢😀'.9") for _ in range(rng.randint(1, 9)))
+    texts = ["\n".join(" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 5))) for _ in range(600)]
+    small = tokens.WordCachedTokenizer(tokens.default_vocabulary())
+    given = []
+
+    class Seen:
+        def encode_batch_fast(self, batch, **options):
+            given.extend(batch)
+            return tok.tokenizer.encode_batch_fast(batch, **options)
+
+    small.tokenizer = Seen()
+    assert small.encode(texts) == [library(tok, t) for t in texts]
+    # pieces after a space meet with nothing but their spaces, those that begin a line or a text with their lines
+    assert len(given) < 30 and not any(g[0] == " " and "\n" in g for g in given)

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 #: White space other than space and newline, as any Unicode version or library may define it.
 _ODD_SPACE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]")
+#: A Latin word and one mark after it.
+_MARKED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[.,;:!?]").fullmatch
 _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _LOADED: dict[tuple[str, int], WordCachedTokenizer] = {}
 
@@ -25,7 +27,7 @@ _LOADED: dict[tuple[str, int], WordCachedTokenizer] = {}
 class WordCachedTokenizer:
     """Encodes texts to uint32 ids. At most ``limit`` pieces are remembered, then all are forgotten."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -35,6 +37,9 @@ class WordCachedTokenizer:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = self.tokenizer.pre_tokenizer
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        vocab = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # how byte-level tokens write a space
         self.newline = newline[0] if len(newline) == 1 else None
         self.cuts = self.newline is not None and not any(re.search(r"\s", t) for t in self.added) and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None
 
@@ -50,7 +55,8 @@ class WordCachedTokenizer:
         for k in keys:
             if k in ("", "\n", "\udc00") or odd and (_ODD_SPACE.search(k.lstrip("\udc00")) or any(t in k for t in self.added)):
                 cache[k] = None
-            elif k[-1] in ".,;:!?" and (stem := k[:-1]).isalpha() and max(stem) < "\u0250":
+            elif _MARKED(k):
+                stem = k[:-1]
                 later.append((k, stem))
                 if stem not in cache:
                     plain.append(stem)
@@ -58,14 +64,27 @@ class WordCachedTokenizer:
                 plain.append(k)
         plain = list(dict.fromkeys(plain))
         spaced = [k for k in plain if k[0] not in "\udc00\n"]
-        # One call for many: the newline between two of them is a token of its own and occurs in none.
-        for at in range(0, len(spaced), 200):
-            part = spaced[at : at + 200]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join([" " + k for k in part])], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.newline) * 4).tolist()
-            cache.update(zip(part, [raw[x:y] for x, y in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)], strict=True))
+        # One call for many: the only spaces are those before them, so each begins with the one token that begins with a space.
+        for at in range(0, len(spaced), 400):
+            part = spaced[at : at + 400]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, cuts = ids.tobytes(), (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+            cache.update(zip(part, [raw[x:y] for x, y in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True))
+        # The others begin a text or a line: each is put on a line of its own, whose newline is one token.
         rest = [k for k in plain if k[0] in "\udc00\n"]
-        cache.update(zip(rest, self._whole([k.lstrip("\udc00") for k in rest]), strict=True))
+        if any("\n" in k[1:] or k[1] == " " for k in rest):  # not from pieces but from runs
+            cache.update(zip(rest, self._whole([k.lstrip("\udc00") for k in rest]), strict=True))
+            return self._join(later)
+        for at in range(0, len(rest), 400):
+            part = rest[at : at + 400]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(["\n" + k[1:] for k in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.newline) * 4).tolist()
+            cache.update(zip(part, [raw[x if k[0] == "\n" else x + 4 : y] for k, x, y in zip(part, cuts, [*cuts[1:], len(raw)], strict=True)], strict=True))
+        self._join(later)
+
+    def _join(self, later: list[tuple[str, str]]) -> None:
+        """Add words with a mark to the cache, once their stems are there."""
+        cache = self.cache
         if later:
             marks = ["\udc00" + m for m in ".,;:!?"]
             self._learn([m for m in marks if m not in cache])
@@ -127,7 +146,7 @@ class WordCachedTokenizer:
         return out
 
 
-def tokenizer(path: str, limit: int = 600_000) -> WordCachedTokenizer:
+def tokenizer(path: str, limit: int = 1_000_000) -> WordCachedTokenizer:
     """One tokenizer a worker process and file."""
     key = (path, limit)
     if key not in _LOADED:
