@@ -288,3 +288,74 @@ def test_neither_lines_nor_keys_are_stored_when_links_are_sought(spark, monkeypa
     docs = spark.createDataFrame([(1, "a line that is here"), (2, "a line that is here"), (3, "a line that is her")], "doc_id long, text string")
     assert {r.doc_id: r.n_kept for r in line_dedup.dropped_lines(docs).collect()} == {1: 1, 2: 0, 3: 0}
     assert "keys" not in stored and held and not any("-lines-" in n for n in held)
+
+
+def test_lines_of_a_text_are_normalised_as_each_line_is():
+    rng = random.Random(11)
+    signs = ["a", "B", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "　", "Σ", "İ", "ß", "日"]
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice([signs, signs[:3] + ["\n", "Σ"]])) for _ in range(rng.randint(0, 12)))
+        assert line_dedup.normalised_lines(text) == [line_dedup.normalised(line) for line in text.split("\n")]
+    lines = ["", "a", "日 b", "", "c"]
+    assert line_dedup._split("\n".join(lines).encode()).to_pylist() == lines
+
+
+def test_shuffles_of_the_last_query_are_released(spark):
+    import gc
+    import time
+
+    from weftline.llm.shared import release, written
+
+    made = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    held = lambda: tracker.shuffleStatuses().size()
+    gc.collect()
+    for _ in range(3):  # those of other tests
+        spark.range(1).count()
+        release(spark)
+    time.sleep(1)
+    before = held()
+    made = written(spark.range(1000).groupBy((F.col("id") % 5).alias("k")).count(), "counts")
+    assert held() > before
+    release(spark)
+    for _ in range(20):  # the cleaner is a thread of its own
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and made.count() == 5
+
+
+def test_lines_are_not_shuffled_to_choose_those_that_share_a_key(spark, monkeypatch):
+    plans = {}
+    write = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    docs = spark.createDataFrame([(1, "a line that is here"), (2, "another of its kind"), (3, "a line that is her"), (4, "what no other line is like")], "doc_id long, text string")
+    assert {r.doc_id: r.n_kept for r in line_dedup.dropped_lines(docs).collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
+    assert "Join" not in plans["texts"]
+
+
+def test_repeated_rows_of_a_text_keep_their_number(spark):
+    rows = [(1, "one two three\n\nfour five six"), (1, "one two three\n\nfour five six"), (1, None), (None, "four five six"), (2, ""), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_lines, r.n_kept, list(r.dropped)) for r in line_dedup.dropped_lines(docs).collect()))
+    assert got == [(0, 1, 0, [0]), (1, 0, 0, []), (1, 3, 3, []), (1, 3, 3, []), (2, 1, 1, []), (2, 1, 1, [])]
+
+
+def test_blocks_with_hardly_a_link_are_compared_in_larger_steps(spark, monkeypatch):
+    monkeypatch.setattr(banding, "AT_ONCE", 2)
+    n = 40
+    members = spark.createDataFrame([(7, i, 1) for i in range(n)], "key long, node long, size long")
+    texts = spark.createDataFrame([(i, str(i // 2)) for i in range(n)], "node long, text string")
+    sign = lambda some: some.select("node", F.lit(b"x").alias("sig"))
+    calls = spark.sparkContext.accumulator(0)
+    most = spark.sparkContext.accumulator(0)
+
+    def together(pairs):
+        calls.add(1)
+        most.add(len(pairs))
+        return [a == b for a, b in pairs]
+
+    alike = lambda columns, one: (columns == (one[:, None] if one.ndim == 1 else one)).all(axis=0)
+    got = {r.node: r.label for r in banding.components_of_bands(members, sign, texts, alike, lambda c: c.to_pylist(), None, 1 << 30, None, together).collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
+    assert calls.value < most.value / 4
