@@ -359,3 +359,27 @@ def test_blocks_with_hardly_a_link_are_compared_in_larger_steps(spark, monkeypat
     got = {r.node: r.label for r in banding.components_of_bands(members, sign, texts, alike, lambda c: c.to_pylist(), None, 1 << 30, None, together).collect()}
     assert got == {i: i - i % 2 for i in range(n)}
     assert calls.value < most.value / 4
+
+
+def test_a_pair_that_several_blocks_list_is_compared_once(spark, tmp_path):
+    nodes, bands = range(10), range(3)
+    members = spark.createDataFrame([(b, n, 1) for b in bands for n in nodes], "key long, node long, size long")
+    texts = spark.createDataFrame([(n, f"text {n}") for n in nodes], "node long, text string")
+    seen = str(tmp_path / "pairs")
+
+    def together(pairs):
+        with open(seen, "a") as f:
+            f.writelines(f"{min(p)},{max(p)}\n" for p in pairs)
+        return [False] * len(pairs)
+
+    def sign(some):
+        return some.withColumn("sig", F.lit(b"x"))
+
+    def possible(pairs):
+        return pairs.filter("hub < 0")
+
+    labels = banding.components_of_bands(members, sign, texts, banding.agree(1), lambda c: c.to_pylist(), None, 100, possible, together)
+    assert labels.count() == 0
+    found = open(seen).read().splitlines()
+    # the smallest is every band's hub, and leaves them
+    assert sorted(found) == sorted(f"text {a},text {b}" for a in nodes for b in nodes if 0 < a < b)
