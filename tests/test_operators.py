@@ -314,3 +314,16 @@ def test_actions_on_rows(spark):
     assert seen.value == 45
     nested = Dataset(spark.createDataFrame([([[1, 2], [3]],), ([[]],)], "a array<array<int>>"))
     assert values(nested.flatten("a").df) == [(1,), (2,), (3,)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left_outer"])
+def test_a_join_of_few_keys_is_dealt_over_all_cores(spark, how):
+    side = lambda n, keys: spark.range(n).coalesce(1).select((F.col("id") % keys).alias("key"), F.col("id").alias("value"))
+    for m, n in ((4000, 2000), (2000, 4000)):
+        out = joins.join_by_key(side(m, 6), side(n, 5), how)
+        held = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("right_value").alias("pairs"), F.sum("left_value").alias("l"), F.sum("right_value").alias("r")).collect()
+        pairs = [(i, j) for i in range(m) if i % 6 < 5 for j in range(i % 6, n, 5)]
+        assert sum(h.pairs for h in held) == len(pairs)
+        alone = sum(i for i in range(m) if i % 6 == 5) if how == "left_outer" else 0
+        assert (sum(h.l for h in held), sum(h.r or 0 for h in held)) == (sum(i for i, _ in pairs) + alone, sum(j for _, j in pairs))
+        assert max(h.pairs for h in held) <= len(pairs) / spark.sparkContext.defaultParallelism
